@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions import digests
-from lamella.llm import newest, setjoin, spans
+from lamella.llm import mixing, newest, packing, setjoin, spans
 from lamella.plans.general import COUNTED, TIME, plain_sql
 from lamella.plans.tables import table
 
@@ -42,6 +42,35 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("image", "tag", F.date_format("pushed_at", TIME).alias("pushed_at"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.document_items(table(spark, d, "documents")), table(spark, d, "pack_spec").select("pack_name", F.col("capacity_tokens").alias("capacity")))
+
+
+def p6_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every non-empty text with its container, for each capacity."""
+    return _packed(spark, d).select("pack_name", "container", F.col("item_id").alias("doc_id"), "piece", F.col("offset").alias("token_from"), F.col("size").alias("tokens"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Fill of the containers, for each capacity."""
+    return packing.fill_report(_packed(spark, d))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of sources: which tokens of which document stand in which slot."""
+    targets = table(spark, d, "mix_target")
+    sizes = mixing.document_sizes(table(spark, d, "documents"), targets)
+    return mixing.mix(sizes, mixing.source_totals(sizes, targets))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares aimed at and reached, for each source of the targets."""
+    targets = table(spark, d, "mix_target")
+    sizes = mixing.document_sizes(table(spark, d, "documents"), targets)
+    totals = mixing.source_totals(sizes, targets)
+    return mixing.share_report(mixing.mix(sizes, totals), totals)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Maximal runs of characters in passages of 120 that another document has too."""
     return spans.shared_spans(table(spark, d, "documents"))
@@ -77,7 +106,7 @@ islands AS (SELECT doc_id, p, sum(b) OVER (PARTITION BY doc_id ORDER BY p) AS i
 found AS (SELECT doc_id, min(p) AS span_start, max(p) + 120 AS span_end FROM islands GROUP BY doc_id, i)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p8_found": p8_found, "p8_coverage": p8_coverage}
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p5_found": p5_found, "p6_assignments": p6_assignments, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_coverage": p8_coverage}
 SQL = {
     "p3_found": _SETS + "SELECT a AS compressed_digest_a, b AS compressed_digest_b FROM pairs",
     "p3_classes": _SETS

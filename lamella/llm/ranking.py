@@ -4,9 +4,8 @@ Top N is two-stage: each group is hashed into subgroups, N are kept in each, and
 survivors are ranked by score and identifier. A group of any size therefore ends in a
 window of at most salts x N rows.
 
-``dense_positions`` numbers rows of a group 0, 1, 2, … without sorting a group in
-one task: rows are numbered inside (group, slice) and shifted by the sizes of the
-slices before.
+``positions`` numbers rows of a group 0, 1, 2, … without sorting a group in one task:
+rows are numbered inside (group, slice) and shifted by the sizes of the slices before.
 
 Defined cases. Ties in score go to the identifier, then equal rows are equal and any
 one of them may be the one kept. A null N keeps nothing. Null scores come last; a
@@ -37,19 +36,23 @@ def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], salt_o
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
-def dense_positions(rows: DataFrame, group: Sequence[str], by: Column, slices: int, position: str = "position") -> DataFrame:
-    """Number the rows of each group from 0 in the order of ``by``, a bigint hash.
+def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[Column], part: Column, amount: Column, name: str) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group that come before, by ``order``.
 
-    ``by`` cuts a group into ``slices`` by its top bits; the table of slice sizes has
-    at most groups x slices rows.
+    ``part`` is an integer that never falls along ``order``; it cuts a group into
+    slices, each summed in its own window and shifted by the slices before. The table
+    of slices has one row for each (group, part).
     """
-    width = -(-(1 << 64) // slices)
-    ordered = rows.withColumn("_by", by)
-    # bigint hashes, shifted to run from the smallest to the greatest
-    ordered = ordered.withColumn("_slice", F.floor((F.col("_by").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int"))
-    sizes = ordered.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inner = Window.partitionBy(*group, "_slice").orderBy("_by")
-    placed = ordered.withColumn("_at", F.row_number().over(inner) - 1)
-    return placed.join(shifts, [*group, "_slice"]).withColumn(position, F.col("_at") + F.col("_shift")).drop("_by", "_slice", "_at", "_shift")
+    sliced = rows.withColumns({"_part": part, "_amount": amount})
+    sizes = sliced.groupBy(*group, "_part").agg(F.sum("_amount").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inner = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = sliced.withColumn("_before", F.coalesce(F.sum("_amount").over(inner), F.lit(0)))
+    return summed.join(shifts, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_shift")).cast("bigint")).drop("_part", "_amount", "_before", "_shift")
+
+
+def positions(rows: DataFrame, group: Sequence[str], hashed: str, slices: int, name: str = "position") -> DataFrame:
+    """Number the rows of each group 0, 1, 2, … in the order of a bigint hash."""
+    bits = max(1, min(20, (max(1, slices) - 1).bit_length()))
+    return running_total(rows, group, [F.col(hashed)], F.shiftright(hashed, 64 - bits), F.lit(1), name)
