@@ -215,14 +215,18 @@ def entities(nodes: DataFrame, is_entity: Column, children: dict[str, str]) -> D
 
 REVISION = "org.opencontainers.image.revision"
 ENTRY_FIELDS = ("config", "manifests", "layers")
-_STEP = r"(?:config|(?:manifests|layers)(?:#\d+)?)"
-ENTRY_PATTERN = rf"^{_STEP}(?:/{_STEP})*\z"
+_STEP = r"^(?:config|(?:manifests|layers)(?:#\d+)?)\z"
+
+
+def is_entry(path: Column) -> Column:
+    """Every step is an entry's. Step by step: one pattern over a deep path would recurse."""
+    return F.forall(F.split(path, "/"), lambda step: step.rlike(_STEP))
 
 
 def manifest_entries(raw: DataFrame) -> DataFrame:
     """All entries (index entries, configs, layers) of the documents in ``raw.body``."""
     nodes = shred(raw, "record_id", "body", follow=(*ENTRY_FIELDS, "platform", "annotations"), keep=("mediaType", "architecture", REVISION))
-    found = entities(nodes, F.col("path").rlike(ENTRY_PATTERN), {"media_type": "mediaType", "architecture": "platform/architecture", "revision": f"annotations/{REVISION}"})
+    found = entities(nodes, is_entry(F.col("path")), {"media_type": "mediaType", "architecture": "platform/architecture", "revision": f"annotations/{REVISION}"})
     # a lone object in place of an array is its element 0
     full = F.regexp_replace(F.regexp_replace("path", r"(manifests|layers)(?=/|$)", "$1#0"), "#", "/")
     parent = F.regexp_replace(full, r"/?(?:config|(?:manifests|layers)/\d+)$", "")
