@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source is a stream of its documents in hashed order, repeated up to its cap and
-cut into blocks of ``block`` tokens. The mixture is a row of slots; slot i takes the
+cut into blocks of equal tokens. The mixture is a row of slots; slot i takes the
 source in whose share the golden-ratio point frac(i phi) falls, and the k-th slot of a
 source takes its k-th block, by a join. The length is the greatest at which no source
 runs out, so shares are met exactly up to one block and the schedule's discrepancy.
@@ -29,7 +29,9 @@ from lamella.llm.tokens import VOCABULARY, with_tokens
 from lamella.session import written
 
 MAX_SOURCES = 10_000
+#: Tokens of a block at most; a mixture too short for MIN_SLOTS of them gets shorter ones.
 BLOCK = 128
+MIN_SLOTS = 1000
 SLICE_BITS = 10
 SLOTS_A_SLICE = 1 << 16
 #: Golden ratio less 1.
@@ -78,11 +80,11 @@ def schedule(spark, weights: list[tuple[str, float, int]], slots: int) -> DataFr
     return ranked if end is None else ranked.where(F.col("slot") < end)
 
 
-def mix(sizes: DataFrame, totals: DataFrame, block: int = BLOCK, total_tokens: int | None = None) -> DataFrame:
+def mix(sizes: DataFrame, totals: DataFrame, block: int | None = None, total_tokens: int | None = None) -> DataFrame:
     """The mixture: slot, source, doc_id, repeat, token_from, token_to.
 
-    Every slot holds exactly ``block`` tokens. ``total_tokens`` may ask for less than
-    the most that the caps allow.
+    Every slot holds exactly ``block`` tokens, by default as many as BLOCK and MIN_SLOTS
+    say. ``total_tokens`` may ask for less than the most that the caps allow.
     """
     spark = sizes.sparkSession
     rows = totals.limit(MAX_SOURCES + 1).collect()
@@ -90,6 +92,10 @@ def mix(sizes: DataFrame, totals: DataFrame, block: int = BLOCK, total_tokens: i
         raise ValueError(f"more than {MAX_SOURCES} sources")
     usable = sorted((r["source"], float(r["target_share"]), int(r["max_repeats"]), int(r["available"])) for r in rows if r["target_share"] > 0 and r["max_repeats"] >= 1 and r["available"] > 0)
     share = sum(s for _, s, _, _ in usable)
+    longest = min((have * times * share / s for _, s, times, have in usable), default=0)
+    if total_tokens is not None:
+        longest = min(longest, total_tokens)
+    block = block or max(1, min(BLOCK, int(longest) // MIN_SLOTS))
     weights = [(n, s / share, have * times // block) for n, s, times, have in usable]
     slots = min((int(b / w) for _, w, b in weights), default=0)
     if total_tokens is not None:
@@ -112,9 +118,12 @@ def mix(sizes: DataFrame, totals: DataFrame, block: int = BLOCK, total_tokens: i
 
 
 def share_report(mixture: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per target: share aimed at, tokens and share reached, most uses of one document."""
+    """Per target: its share, the share aimed at (scaled to the sources that have documents),
+    tokens and share reached, most uses of one document."""
     got = mixture.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"), (F.max("repeat") + 1).alias("most_uses"))
     everything = Window.partitionBy()  # one row for each target
     joined = totals.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     mixed = F.sum("tokens").over(everything)
-    return joined.select("source", "target_share", "max_repeats", "available", "tokens", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.when(mixed > 0, F.col("tokens") / mixed).otherwise(F.lit(0.0)).alias("share"))
+    aim = F.when((F.col("available") > 0) & (F.col("max_repeats") >= 1), F.col("target_share")).otherwise(F.lit(0.0))
+    scaled = F.when(F.sum(aim).over(everything) > 0, aim / F.sum(aim).over(everything)).otherwise(F.lit(0.0))
+    return joined.select("source", "target_share", scaled.alias("aim"), "max_repeats", "available", "tokens", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.when(mixed > 0, F.col("tokens") / mixed).otherwise(F.lit(0.0)).alias("share"))
