@@ -66,24 +66,38 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes hashed at a time while looking for a cut.
+_STRIDE = 1 << 18
+
+
+def _first_hit(raw: np.ndarray, restart: int, begin: int, end: int, mask: int) -> int:
+    """First place in begin .. end - 1 whose hash misses all bits of the mask, else -1.
+
+    Bytes before ``restart`` never count; a place needs the 63 bytes before it.
+    """
+    for at in range(begin, end, _STRIDE):
+        stop, back = min(at + _STRIDE, end), max(restart, at - 63)
+        hit = np.flatnonzero((_window_hashes(raw[back:stop])[at - back :] & np.uint64(mask)) == 0)
+        if len(hit):
+            return at + int(hit[0])
+    return -1
+
+
 def cuts(data: bytes, fmt: Format = FORMAT_1) -> list[int]:
     """End offsets of the chunks of ``data``."""
     raw = np.frombuffer(data, np.uint8)
     out, at, n = [], 0, len(raw)
     while at < n:
         size = min(n - at, fmt.largest)
-        if size <= fmt.smallest:
-            at += size
-        else:
-            # hashing starts at the restart, so bytes before it never count
-            h = _window_hashes(raw[at + fmt.smallest : at + size])
-            border = min(fmt.average, size) - fmt.smallest
-            hit = np.flatnonzero((h[:border] & np.uint64(fmt.strict)) == 0)
-            if len(hit):
-                at += fmt.smallest + int(hit[0]) + 1
-            else:
-                hit = np.flatnonzero((h[border:] & np.uint64(fmt.loose)) == 0)
-                at += fmt.smallest + border + int(hit[0]) + 1 if len(hit) else size
+        end = at + size
+        if size > fmt.smallest:
+            restart, border = at + fmt.smallest, at + min(fmt.average, size)
+            hit = _first_hit(raw, restart, restart, border, fmt.strict)
+            if hit < 0:
+                hit = _first_hit(raw, restart, border, end, fmt.loose)
+            if hit >= 0:
+                end = hit + 1
+        at = end
         out.append(at)
     return out
 

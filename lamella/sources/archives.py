@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lamella.functions.paths import normal
 
@@ -64,7 +65,7 @@ def tar_entries(layers: DataFrame, layer_id: str, content: str) -> DataFrame:
     return slim.mapInArrow(run, ENTRY_SCHEMA)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zstd_compress(data: pd.Series) -> pd.Series:
     import zstandard
 
@@ -72,7 +73,7 @@ def zstd_compress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else enc.compress(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zstd_decompress(data: pd.Series) -> pd.Series:
     """Content of one or more frames; null for bytes that are none."""
     import zstandard
