@@ -24,6 +24,8 @@ from lamella.functions import digests
 
 MAX_BITS = 1 << 26
 BITS_PER_KEY = 10
+#: Partial filters merged into one: bounds what the merge receives to PARTIALS x MAX_BITS.
+PARTIALS = 32
 
 
 def bloom_filter(keys: DataFrame, column: str, expected: int, max_bits: int = MAX_BITS) -> bytes:
@@ -31,7 +33,7 @@ def bloom_filter(keys: DataFrame, column: str, expected: int, max_bits: int = MA
     spark = keys.sparkSession
     bits = int(min(max(expected * BITS_PER_KEY, 1024), max_bits))
     items = int(max(expected, 1))
-    made = keys._jdf.stat().bloomFilter(column, items, bits)
+    made = keys.select(column).repartition(PARTIALS, column)._jdf.stat().bloomFilter(column, items, bits)
     out = spark._jvm.java.io.ByteArrayOutputStream()
     made.writeTo(out)
     return bytes(out.toByteArray())

@@ -208,6 +208,15 @@ def test_tar_and_zstd(spark):
     assert bytes(got[1]["c"]) == data * 2 and got[2]["bad"] is None and got[4]["c"] is None
 
 
+def test_written_tables_can_be_dropped(spark):
+    from lamella import session
+
+    table = session.written(spark.range(3), "t")
+    assert table.count() == 3
+    session.drop_written(spark)
+    assert not os.path.exists(session._tables_of(spark).removeprefix("file://"))
+
+
 def test_rendering(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     assert sinks.render(df) == '[{"n": 1, "s": "a"}]' and sinks.render(df.limit(0)) == "[]"
