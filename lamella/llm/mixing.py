@@ -107,7 +107,7 @@ def mix(sizes: DataFrame, totals: DataFrame, block: int | None = None, total_tok
     have = {n: a for n, _, _, a in usable}
     per_source = spark.createDataFrame([(n, have[n], k * block) for n, k in used.items()], "source string, available bigint, quota bigint")
 
-    streams = running_total(sizes, ["source"], [F.col("hashed"), F.col("doc_id")], F.shiftright("hashed", 64 - SLICE_BITS), F.col("tokens"), "offset")
+    streams = running_total(sizes, ["source"], [F.col("hashed"), F.col("doc_id"), F.col("tokens")], F.shiftright("hashed", 64 - SLICE_BITS), F.col("tokens"), "offset")
     streams = streams.join(F.broadcast(per_source), "source")
     # occurrence r begins at r * available + offset of the repeated stream
     turns = streams.where("offset < quota").withColumn("repeat", F.explode(F.expr("sequence(0L, (quota - 1 - offset) div available)")))

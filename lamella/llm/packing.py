@@ -115,7 +115,7 @@ def pack(items: DataFrame, specs: DataFrame) -> DataFrame:
             widths.append((k, length, width))
             plan += [(k, length, b, first, last, container, per) for _, first, last, container, per in ranges for b in range(first // width, last // width + 1)]
     slices = max(1, sum(r["n"] for r in counts) // SLICE)
-    placed = positions(pieces, ["pack", "size"], "hashed", slices, "rank")
+    placed = positions(pieces, ["pack", "size"], "hashed", slices, "rank", ["item_id", "piece"])
     wide = spark.createDataFrame(widths, "pack int, size bigint, width bigint")
     planned = spark.createDataFrame(plan, "pack int, size bigint, bucket bigint, first bigint, last bigint, start bigint, per bigint")
     bucketed = placed.join(F.broadcast(wide), ["pack", "size"]).withColumn("bucket", F.expr("rank div width"))

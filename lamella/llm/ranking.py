@@ -52,7 +52,10 @@ def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
     return summed.join(shifts, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_shift")).cast("bigint")).drop("_part", "_amount", "_before", "_shift")
 
 
-def positions(rows: DataFrame, group: Sequence[str], hashed: str, slices: int, name: str = "position") -> DataFrame:
-    """Number the rows of each group 0, 1, 2, … in the order of a bigint hash."""
+def positions(rows: DataFrame, group: Sequence[str], hashed: str, slices: int, name: str = "position", ties: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, … in the order of a bigint hash, then ``ties``.
+
+    With ties that tell unequal rows apart, a task that is run again numbers alike.
+    """
     bits = max(1, min(20, (max(1, slices) - 1).bit_length()))
-    return running_total(rows, group, [F.col(hashed)], F.shiftright(hashed, 64 - bits), F.lit(1), name)
+    return running_total(rows, group, [F.col(c) for c in (hashed, *ties)], F.shiftright(hashed, 64 - bits), F.lit(1), name)

@@ -4,6 +4,9 @@ Prefix-filtered join. Tokens get ranks by rarity; a record is indexed only under
 prefix a partner must meet; length and position filters thin the candidates; the exact
 overlap decides.
 
+The join key holds the length class as well, so a long posting list meets only sets of
+about its members' sizes.
+
 Scale. Records with equal sets are one class and only representatives are joined, so
 copies cost one row each. Posting lists longer than ``BLOCK`` are cut into blocks: the
 smaller side is spread over the blocks and the other repeated to each, so a hot token
@@ -46,19 +49,36 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored.where(F.col("record") == F.col("class_id")).drop("record"), stored.select("record", "class_id", "copies")
 
 
+def length_borders(threshold: Fraction, longest: int) -> list[int]:
+    """Borders such that partners' sizes lie in one length class or in neighbouring ones.
+
+    Each border is at least the one before divided by the threshold, and a partner is
+    at most that much larger.
+    """
+    borders = [1]
+    while borders[-1] < longest:
+        borders.append(max(borders[-1] + 1, -(-borders[-1] * threshold.denominator // threshold.numerator)))
+    return borders
+
+
 def similar_classes(classes: DataFrame, threshold: Fraction, block: int = BLOCK) -> DataFrame:
     """(a, b, overlap, similarity) for pairs of class representatives, a < b."""
     p, q = threshold.numerator, threshold.denominator
     # integer forms of n - ceil(t n) + 1 and ceil(t/(1+t) (n_a + n_b))
     prefix = F.expr(f"n - (({p} * n + {q - 1}) div {q}) + 1")
     rows = classes.select("class_id", F.col("n").cast("bigint").alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("pos", "rank"))
+    longest = classes.agg(F.max("n")).first()[0] or 1
+    borders = F.array(*[F.lit(b).cast("bigint") for b in length_borders(threshold, longest)])
+    rows = rows.withColumn("span", F.size(F.filter(borders, lambda b: b <= F.col("n"))))
     longs = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     blocks = longs.select("rank", F.expr(f"cast((len + {block - 1}) div {block} as int)").alias("blocks"))
     posted = written(rows.join(blocks, "rank"), "postings")
-    a = posted.select("rank", F.expr("pmod(xxhash64(class_id), blocks)").cast("int").alias("block"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = posted.select("rank", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    a = posted.select("rank", "span", F.expr("pmod(xxhash64(class_id), blocks)").cast("int").alias("block"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    # the longer set of a pair is of the shorter one's length class or of the next
+    b = posted.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") - 1)))
+    b = b.select("rank", "span", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     needed = f"(({p} * (na + nb) + {p + q - 1}) div {p + q})"
-    met = a.join(b, ["rank", "block"]).where(
+    met = a.join(b, ["rank", "span", "block"]).where(
         # each pair once: the shorter set on the left, ties by id
         F.expr(f"(na < nb or (na = nb and a < b)) and {q} * na >= {p} * nb and 1 + least(na - pa - 1, nb - pb - 1) >= {needed}")
     )

@@ -61,3 +61,10 @@ def test_between_two_tables(spark):
     left, right = members(spark, {"1": {"a", "b"}, "2": {"c"}}), members(spark, {"1": {"a", "b"}, "3": {"c", "d"}})
     got = {(r["left_record"], r["right_record"]) for r in setjoin.similar_between(left, right, Fraction(1, 2)).collect()}
     assert got == {("1", "1"), ("2", "3")}
+
+
+def test_partners_are_in_neighbouring_length_classes():
+    for t in (Fraction(7, 10), Fraction(1, 2), Fraction(99, 100), Fraction(1, 1), Fraction(1, 10)):
+        borders = setjoin.length_borders(t, 400)
+        place = [sum(b <= n for b in borders) for n in range(401)]
+        assert all(0 <= place[b] - place[a] <= 1 for a in range(1, 401) for b in range(a, 401) if a >= t * b)
