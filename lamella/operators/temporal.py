@@ -126,9 +126,12 @@ def _hot_changes(stage: DataFrame, key: Sequence[str], satellites: dict[str, Seq
     return ended.join(follow, [*key, "day"]).withColumn("until", F.coalesce("next", "follow")).drop("next", "follow", "day")
 
 
-def versions(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]], removed: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def versions(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]], removed: str | None = None, hot_rows: int = HOT_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """Versions with ``valid_from`` and ``valid_to`` (null while one holds).
 
+    ``rows``: what ``stage`` was made of, if given; counting hot keys there reads the key
+    columns only and does not stage twice. A key has no more staged rows than rows.
+
     ``removed`` names a boolean column; such a row ends the version before it and
     begins none. It must be among the attributes of a satellite.
     """
@@ -137,7 +140,7 @@ def versions(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequenc
         w = Window.partitionBy(*key).orderBy("at")
         return satellite_changes(rows, key, satellites).select("*", F.lead("at").over(w).alias("until"))
 
-    hot = _hot_keys(stage, key, hot_rows)
+    hot = _hot_keys(stage if rows is None else rows.dropna(subset=list(key)), key, hot_rows)
     if hot is None:
         ended = plain_path(stage)
     else:
@@ -176,5 +179,5 @@ def push_versions(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     A malformed, non-blank digest has no plain form and stands for itself, trimmed.
     """
-    found = versions(history_stage(history), HISTORY_KEY, HISTORY_SATELLITES, removed="removed", hot_rows=hot_rows)
+    found = versions(history_stage(history), HISTORY_KEY, HISTORY_SATELLITES, removed="removed", hot_rows=hot_rows, rows=history)
     return found.withColumn("digest", F.coalesce(digests.hex_text(F.col("digest")), F.col("other"))).drop("other")
