@@ -95,6 +95,16 @@ def copy_plan(manifest: DataFrame, source_prefix: str, target_prefix: str) -> Da
     return wanted.join(there, "digest", "left").select("digest", "size_bytes", F.when(F.col("there"), "skip").otherwise("copy").alias("action"))
 
 
+def sidecar_plan(keys: DataFrame, source_prefix: str, target_prefix: str, rewritten: bool) -> DataFrame:
+    """(object_key, target_key, action) for what lies beside a copied manifest.
+
+    A signature covers the manifest and its place, so it is dropped when either changes.
+    """
+    beside = keys.where(F.col("object_key").startswith(source_prefix)).select("object_key", F.expr(f"substring(object_key, {len(source_prefix) + 1})").alias("rest")).where("rest <> 'manifest.json'")
+    lost = F.col("rest").startswith("signatures/") & F.lit(rewritten or source_prefix != target_prefix)
+    return beside.select("object_key", F.when(~lost, F.concat(F.lit(target_prefix), "rest")).alias("target_key"), F.when(lost, "drop").otherwise("copy").alias("action"))
+
+
 def retargeted_layers(manifests: DataFrame, recipe: DataFrame) -> DataFrame:
     """Layers with digest and size replaced by the recipe's compressed identity, if one exists."""
     raw, packed = digests.plain(F.col("layer")), digests.plain(F.col("compressed_digest"))

@@ -15,7 +15,7 @@ from lamella.functions import names
 SCHEMA_VERSION = 2
 
 
-def verify(tags: DataFrame, signatures: DataFrame, bucket: str, check: Callable[[Column, Column, Column], Column]) -> DataFrame:
+def verify(tags: DataFrame, signatures: DataFrame, bucket: str, check: Callable[[Column, Column, Column], Column], domain: str = "lamella-signature-v2") -> DataFrame:
     """(image, tag, verified, reason); the first failure is the reason.
 
     ``tags``: (image, tag, digest). ``signatures``: (image, tag, schema_version, digest,
@@ -23,7 +23,7 @@ def verify(tags: DataFrame, signatures: DataFrame, bucket: str, check: Callable[
     """
     joined = tags.select("image", "tag", F.col("digest").alias("now")).join(signatures, ["image", "tag"], "left")
     raw = F.try_to_binary("signature", F.lit("base64"))
-    payload = names.signing_payload(F.lit(bucket), F.col("image"), F.col("tag"), F.col("digest"))
+    payload = names.signing_payload(F.lit(bucket), F.col("image"), F.col("tag"), F.col("digest"), domain)
     reason = (
         F.when(F.col("signature").isNull() & F.col("schema_version").isNull(), "no signature")
         .when(F.coalesce(F.col("schema_version") != SCHEMA_VERSION, F.lit(True)), "unknown schema")

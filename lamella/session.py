@@ -44,6 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     would lose rows there.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -85,3 +85,10 @@ def test_platforms(spark):
 def test_grammars(spark):
     assert column(spark, ["a", "a/b-c", "A", "a//b", "a_", "", None], names.valid_name) == [True, True, False, False, False, False, False]
     assert column(spark, ["v1", "_x", ".x", "sha256:" + "a" * 64, "sha256:zz", "a" * 129], names.valid_reference) == [True, True, False, True, False, False]
+
+
+def test_labels(spark):
+    assert column(spark, ["a.json", "oci-layout", "x"], names.content_type) == ["application/json"] * 2 + ["application/octet-stream"]
+    assert column(spark, ["s3", "gs", "az", "local"], names.cold_class) == ["INTELLIGENT_TIERING", "NEARLINE", "Cool", None]
+    assert column(spark, ["ecdsa", "rsa", "x"], names.algorithm_label) == ["ECDSA_SHA_256", "RSA_PKCS1_SHA_256", "UNKNOWN"]
+    assert column(spark, ["a/b c+d"], lambda c: names.copy_source(F.lit("bk"), c)) == ["bk/a/b%20c%2Bd"]

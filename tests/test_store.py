@@ -122,6 +122,16 @@ def test_verification_ladder(spark):
     assert got == {"ok": "ok", "none": "no signature", "schema": "unknown schema", "moved": "digest changed", "coding": "bad encoding", "bad": "bad signature", "two": "ok"}
 
 
+def test_sidecars_travel_only_with_their_place(spark):
+    keys = spark.createDataFrame([(f"manifests/a/v1/{k}",) for k in ("manifest.json", "signatures/k.json", "note.txt")] + [("manifests/a/v10/note.txt",)], "object_key string")
+
+    def plan(*a):
+        return {r["object_key"].rpartition("/v1/")[2]: (r["target_key"], r["action"]) for r in reach.sidecar_plan(keys, "manifests/a/v1/", *a).collect()}
+
+    assert plan("manifests/a/v2/", False) == {"signatures/k.json": (None, "drop"), "note.txt": ("manifests/a/v2/note.txt", "copy")}
+    assert plan("manifests/a/v1/", False)["signatures/k.json"][1] == "copy" and plan("manifests/a/v1/", True)["signatures/k.json"][1] == "drop"
+
+
 def test_cache_evicts_the_oldest(spark):
     log = spark.createDataFrame([("s", k, T, n) for n, k in enumerate("abca")], "scope string, key string, at timestamp, seq int")
     now = F.lit("2024-01-01 00:00:10").cast("timestamp")
