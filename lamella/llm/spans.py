@@ -13,8 +13,9 @@
 5. Windows of each document are merged into maximal spans.
 
 Scale. Work follows the text plus the part that survives step 2; each shard holds
-about ``SHARD`` characters. An anchor with more than that is cut into blocks and each
-pair of blocks is a shard, so no task ever holds a hot anchor whole.
+about ``SHARD`` characters. An anchor with more different regions than that leaves the
+shards: its regions become single windows, which step 3 resolves, so no task ever holds
+a hot anchor whole and none is searched against itself in blocks.
 
 Defined cases. Null, empty and short texts share nothing. Rows with a null doc_id are
 ignored, as nothing could name them. Rows of one doc_id are one document: passages it
@@ -23,6 +24,7 @@ repeats itself do not count. Characters are code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,21 +151,39 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("rep", "text", "runs").mapInArrow(run, "anchor bigint, rep bigint, start bigint, windows bigint, region string")
 
 
+def _hot_anchors(regions: DataFrame, shard: int) -> DataFrame | None:
+    """Anchors whose different regions are too many for one shard."""
+    hot = regions.groupBy("anchor").agg(F.sum(F.length("region")).alias("chars")).where(F.col("chars") > 1.5 * shard).select("anchor")
+    return None if hot.isEmpty() else hot
+
+
+def _by_window(regions: DataFrame, length: int) -> DataFrame:
+    """As ``_search``, for hot anchors: their regions are cut to single windows, and equal
+    windows grouped by digest, so that no task holds an anchor and work stays linear."""
+    schema = pa.schema([("window", pa.binary()), ("anchor", pa.int64()), ("digest", pa.binary()), ("rep", pa.int64()), ("last", pa.int64()), ("at", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for anchor, digest, rep, last, region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(hashlib.blake2b(region[i : i + length].encode(), digest_size=16).digest(), anchor, digest, rep, last, i) for i in range(len(region) - length + 1)]
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    cut = regions.select("anchor", "digest", "rep", "last", "region").mapInArrow(run, "window binary, anchor bigint, digest binary, rep bigint, last bigint, at bigint")
+    windows = written(cut, "hot-windows")
+    shared = windows.groupBy("window").agg(F.min("rep").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("window")
+    return windows.join(shared, "window", "left_semi").select("anchor", "digest", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
 def _sharded(regions: DataFrame, shard: int) -> DataFrame:
-    """Adds ``shard``; anchors with more than ``shard`` characters become pairs of blocks."""
-    spark = regions.sparkSession
+    """Adds ``shard``: anchors are spread so that a shard has about ``shard`` characters."""
     total = regions.agg(F.sum(F.length("region"))).first()[0] or 0
-    shards = max(-(-total // shard), min(parallelism(spark), -(-total // 10_000)), 1)
-    sizes = regions.groupBy("anchor").agg(F.sum(F.length("region")).alias("chars")).where(F.col("chars") > 1.5 * shard)
-    even = F.concat(F.lit("s"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string"))
-    if sizes.isEmpty():
-        return regions.withColumn("shard", even)
-    # b blocks of half a shard: two of them make one index
-    sized = regions.join(sizes.select("anchor", F.ceil(2 * F.col("chars") / shard).cast("int").alias("blocks")), "anchor", "left")
-    block = F.pmod(F.xxhash64("digest", "anchor"), F.col("blocks")).cast("int")
-    cut = sized.where(F.col("blocks").isNotNull()).withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> other")
-    name = F.concat_ws(":", "anchor", F.least("block", "other"), F.greatest("block", "other"))
-    return sized.where(F.col("blocks").isNull()).withColumn("shard", even).unionByName(cut.withColumn("shard", name).drop("block", "other")).drop("blocks")
+    shards = max(-(-total // shard), min(parallelism(regions.sparkSession), -(-total // 10_000)), 1)
+    return regions.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
 
 
 def _search(sharded: DataFrame, length: int) -> DataFrame:
@@ -211,8 +231,13 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int | None =
     classes = written(classes, "region-classes")
     every = classes.where("rep < last").select("anchor", "digest", F.lit(0).cast("bigint").alias("first"), (F.col("windows") - 1).alias("last"))
     crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("anchor")
-    searched = _search(_sharded(classes.join(crowded, "anchor", "left_semi"), shard), length)
-    windows = every.unionByName(searched)
+    apart = classes.join(crowded, "anchor", "left_semi")
+    hot = _hot_anchors(apart, shard)
+    windows = every
+    if hot is not None:
+        windows = windows.unionByName(_by_window(apart.join(hot, "anchor", "left_semi"), length))
+        apart = apart.join(hot, "anchor", "left_anti")
+    windows = windows.unionByName(_search(_sharded(apart, shard), length))
     placed = regions.select("anchor", "digest", "rep", "start").join(windows, ["anchor", "digest"])
     single = reps.where("rep = last").select("rep")
     parts = placed.join(single, "rep", "left_semi").select(F.col("rep").alias("doc_id"), (F.col("start") + F.col("first")).alias("span_start"), (F.col("start") + F.col("last") + length).alias("span_end"))

@@ -59,11 +59,16 @@ def test_random_corpora_agree_with_brute_force(spark, length, gram, shard):
     assert found(spark, docs, length=length, gram=gram, shard=shard) == brute(docs, length)
 
 
-def test_hot_passage_is_cut_into_pairs_of_blocks(spark):
+def test_hot_passage_is_resolved_by_windows(spark, monkeypatch):
     rng = random.Random(8)
     hot = "".join(rng.choice("abcdefgh") for _ in range(30))
     docs = [(k, "".join(rng.choice("abcdefgh") for _ in range(20)) + hot + "".join(rng.choice("abcdefgh") for _ in range(20))) for k in range(80)]
-    assert found(spark, docs, length=24, shard=300) == brute(docs, 24)
+    expected = brute(docs, 24)
+    calls = []
+    by_window = spans._by_window
+    monkeypatch.setattr(spans, "_by_window", lambda *a: calls.append(1) or by_window(*a))
+    assert found(spark, docs, length=24, shard=300) == expected and calls
+    assert found(spark, docs, length=24) == expected and len(calls) == 1
 
 
 def test_repeats_within_one_document_do_not_count(spark):
