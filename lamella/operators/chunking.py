@@ -57,17 +57,17 @@ GEAR = _splitmix()
 def _window_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the up to 64 bytes that end at each place."""
     h = GEAR[data]
+    moved = np.empty_like(h)
     size = 1
-    with np.errstate(over="ignore"):
-        while size < 64:
-            longer = h.copy()
-            longer[size:] += h[:-size] << np.uint64(size)
-            h, size = longer, size * 2
+    while size < min(64, len(h)):
+        np.left_shift(h[:-size], np.uint64(size), out=moved[size:])
+        h[size:] += moved[size:]
+        size *= 2
     return h
 
 
 #: Bytes hashed at a time while looking for a cut.
-_STRIDE = 1 << 18
+_STRIDE = 1 << 16
 
 
 def _first_hit(raw: np.ndarray, restart: int, begin: int, end: int, mask: int) -> int:
