@@ -82,15 +82,22 @@ def newest_manifests(manifests: DataFrame) -> DataFrame:
 
 
 def references(manifests: DataFrame) -> DataFrame:
-    """Edges (manifest_id, kind, child, size_bytes, platform_os) to configs, layers and manifests."""
+    """Edges (manifest_id, kind, child, size_bytes, platform_os) to configs, layers and manifests.
 
-    def many(c: str, kind: str) -> DataFrame:
-        os = F.col("x.platform.os") if kind == "manifest" else F.lit(None).cast("string")
-        has = F.col("x.platform").isNotNull() if kind == "manifest" else F.lit(False)
-        return manifests.select("manifest_id", F.explode(c).alias("x")).select("manifest_id", F.lit(kind).alias("kind"), F.col("x.digest").alias("child"), F.col("x.size_bytes").alias("size_bytes"), os.alias("platform_os"), has.alias("has_platform"))
+    One pass: the three lists of a row are joined into one and exploded.
+    """
 
-    config = manifests.where(F.col("config_digest").isNotNull()).select("manifest_id", F.lit("config").alias("kind"), F.col("config_digest").alias("child"), F.col("config_size").alias("size_bytes"), F.lit(None).cast("string").alias("platform_os"), F.lit(False).alias("has_platform"))
-    return config.unionByName(many("layers", "layer")).unionByName(many("manifests", "manifest")).where(F.col("child").isNotNull())
+    def edge(kind: str, digest: Column, size: Column, platform: Column | None = None) -> Column:
+        os = platform["os"] if platform is not None else F.lit(None).cast("string")
+        has = platform.isNotNull() if platform is not None else F.lit(False)
+        return F.struct(F.lit(kind).alias("kind"), digest.alias("child"), size.alias("size_bytes"), os.alias("platform_os"), has.alias("has_platform"))
+
+    every = F.concat(
+        F.array(edge("config", F.col("config_digest"), F.col("config_size"))),
+        F.transform("layers", lambda x: edge("layer", x["digest"], x["size_bytes"])),
+        F.transform("manifests", lambda x: edge("manifest", x["digest"], x["size_bytes"], x["platform"])),
+    )
+    return manifests.select("manifest_id", F.explode(every).alias("e")).select("manifest_id", "e.*").where(F.col("child").isNotNull())
 
 
 def tag_references(manifest: DataFrame) -> DataFrame:
