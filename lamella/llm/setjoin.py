@@ -34,16 +34,16 @@ BLOCK = 2000
 def ranked_sets(members: DataFrame) -> DataFrame:
     """(record, token) rows to (record, tokens, n): distinct ranks, rarest token first."""
     distinct = members.where(F.col("record").isNotNull() & F.col("token").isNotNull()).select("record", "token").distinct()
-    distinct = written(distinct, "set-members")
     counts = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # ids that rise with (df, token): the sort is by range, so no task holds all tokens
-    ranks = written(counts.orderBy("df", "token").select("token", F.monotonically_increasing_id().alias("rank")), "token-ranks")
+    ranks = counts.orderBy("df", "token").select("token", F.monotonically_increasing_id().alias("rank"))
     return distinct.join(ranks, "token").groupBy("record").agg(F.sort_array(F.collect_list("rank")).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (class_id, tokens, n, copies) and membership (record, class_id, copies)."""
-    keyed = sets.withColumn("digest", F.sha2(F.to_json("tokens"), 256))
+    # written before it is used twice: ranks may come out differently in a second run
+    keyed = written(sets.withColumn("digest", F.sha2(F.to_json("tokens"), 256)), "sets")
     classes = keyed.groupBy("digest").agg(F.min("record").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     stored = written(keyed.join(classes, "digest").drop("digest"), "set-classes")
     return stored.where(F.col("record") == F.col("class_id")).drop("record"), stored.select("record", "class_id", "copies")
