@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import digests, names, values
+from lamella.session import splittable
 
 
 def plain_manifests(manifest: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def tag_references(manifest: DataFrame) -> DataFrame:
     edges = references(manifests)
     own = tags.join(edges, "manifest_id").drop("manifest_id")
     children = own.where("kind = 'manifest'").select("image", "tag", "child").distinct()
-    by_digest = newest_manifests(manifests).select(F.col("digest").alias("child"), "manifest_id")
+    by_digest = splittable(newest_manifests(manifests).select(F.col("digest").alias("child"), "manifest_id"))
     below = children.join(by_digest, "child").drop("child").join(edges.where("kind <> 'manifest'"), "manifest_id").drop("manifest_id")
     return own.unionByName(below)
 
@@ -150,7 +151,7 @@ def layer_sharing(manifest: DataFrame, prefix: str = "") -> DataFrame:
     edges = references(manifests)
     attested = F.col("has_platform") & F.coalesce(F.col("platform_os"), F.lit("")).isin("", "unknown")
     runnable = edges.where((F.col("kind") == "manifest") & ~attested).select("manifest_id", "child").distinct()
-    by_digest = newest_manifests(manifests).select(F.col("digest").alias("child"), F.col("manifest_id").alias("child_id"))
+    by_digest = splittable(newest_manifests(manifests).select(F.col("digest").alias("child"), F.col("manifest_id").alias("child_id")))
     below = tags.join(runnable, "manifest_id").join(by_digest, "child").select("name", F.col("child_id").alias("manifest_id"))
     layers = edges.where("kind = 'layer'").select("manifest_id", F.col("child").alias("digest"), "size_bytes")
     per_tag = tags.unionByName(below).join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
@@ -192,6 +193,6 @@ def lookup_digest(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
     direct = manifests.where(F.col("digest").isNotNull()).select("digest", F.lit(0).alias("rank"), "manifest_id")
     listed = manifests.select(F.explode("manifests.digest").alias("digest"), F.lit(1).alias("rank"), "manifest_id").where(F.col("digest").isNotNull())
     asked = wanted.select("digest").distinct()
-    best = direct.unionByName(listed).join(asked, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("rank", "manifest_id")).alias("m"))
+    best = direct.unionByName(listed).join(splittable(asked), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("rank", "manifest_id")).alias("m"))
     found = F.when(F.col("m.rank") == 0, "manifest").when(F.col("m.rank") == 1, "index").otherwise("none")
     return asked.join(best, "digest", "left").select("digest", found.alias("found"), "m.manifest_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import paths
-from lamella.session import written
+from lamella.session import splittable, written
 
 
 def top_entries(entries: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def view(entries: DataFrame) -> DataFrame:
     marks = normal.where(marker).groupBy("image", F.col("path").alias("mark")).agg(F.max("layer_pos").alias("mark_pos"))
     files = normal.where(~marker).groupBy("image", "path").agg(F.max_by(F.struct("layer_pos", "link"), "layer_pos").alias("m")).select("image", "path", "m.*")
     probes = files.withColumn("mark", F.explode(paths.whiteouts(F.col("path"))))
-    hidden = probes.join(marks, ["image", "mark"]).where("mark_pos > layer_pos").select("image", "path").distinct()
+    hidden = probes.join(splittable(marks), ["image", "mark"]).where("mark_pos > layer_pos").select("image", "path").distinct()
     return files.join(hidden, ["image", "path"], "left_anti")
 
 

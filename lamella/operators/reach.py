@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import digests
 from lamella.operators import catalog
-from lamella.session import written
+from lamella.session import splittable, written
 
 #: Rounds after which nesting is taken for an error.
 MAX_DEPTH = 64
@@ -29,7 +29,7 @@ def reachable(manifest: DataFrame, recipe: DataFrame, tags: DataFrame | None = N
     """(kind, digest) that the current tags reach: manifest, config, layer, chunk."""
     manifests = catalog.plain_manifests(manifest)
     edges = written(catalog.references(manifests).select("manifest_id", "kind", "child"), "edges")
-    by_digest = catalog.newest_manifests(manifests.select("digest", "manifest_id", "stored_at")).select(F.col("digest").alias("child"), "manifest_id")
+    by_digest = splittable(catalog.newest_manifests(manifests.select("digest", "manifest_id", "stored_at")).select(F.col("digest").alias("child"), "manifest_id"))
     front = written((tags if tags is not None else catalog.current_tags(manifest)).select("manifest_id").distinct(), "front")
     seen = front
     for _ in range(MAX_DEPTH):
@@ -71,7 +71,7 @@ def missing(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
     """
     stored = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").select(F.col("digest").alias("child")).distinct()
     refs = catalog.tag_references(manifest).select("image", "tag", "child").distinct()
-    return refs.join(stored, "child", "left_anti").groupBy("image", "tag").agg(F.count(F.lit(1)).alias("n_missing"), F.min("child").alias("first_missing"))
+    return refs.join(splittable(stored), "child", "left_anti").groupBy("image", "tag").agg(F.count(F.lit(1)).alias("n_missing"), F.min("child").alias("first_missing"))
 
 
 def orphans(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
@@ -109,5 +109,5 @@ def retargeted_layers(manifests: DataFrame, recipe: DataFrame) -> DataFrame:
     """Layers with digest and size replaced by the recipe's compressed identity, if one exists."""
     raw, packed = digests.plain(F.col("layer")), digests.plain(F.col("compressed_digest"))
     by_layer = recipe.select(raw.alias("digest"), packed.alias("packed"), "compressed_size", "recipe_id").where("digest is not null and packed is not null").groupBy("digest").agg(F.min_by(F.struct("packed", "compressed_size"), "recipe_id").alias("r"))
-    rows = catalog.layer_rows(manifests).join(by_layer, "digest", "left")
+    rows = catalog.layer_rows(manifests).join(splittable(by_layer), "digest", "left")
     return rows.select("manifest_id", "pos", F.coalesce("r.packed", "digest").alias("digest"), F.when(F.col("r").isNotNull(), F.col("r.compressed_size")).otherwise(F.col("size_bytes")).alias("size_bytes"), F.col("r").isNotNull().alias("retargeted"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import digests
 from lamella.operators import catalog
+from lamella.session import splittable
 
 
 def chunk_offsets(recipe: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def store_delta(recipe: DataFrame, object_listing: DataFrame) -> DataFrame:
     offsets = chunk_offsets(recipe).where("digest is not null")
     wanted = offsets.groupBy("recipe_id", "digest").agg(F.max("size_bytes").alias("size_bytes"))
     stored = catalog.live_objects(object_listing).where("kind = 'chunks'").select("digest").distinct().withColumn("stored", F.lit(True))
-    marked = wanted.join(stored, "digest", "left").withColumn("new", F.col("stored").isNull())
+    marked = wanted.join(splittable(stored), "digest", "left").withColumn("new", F.col("stored").isNull())
     grouped = marked.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if("new").alias("n_new"), F.sum("size_bytes").alias("bytes"), F.sum(F.when(F.col("new"), F.col("size_bytes")).otherwise(0)).alias("new_bytes"))
     return grouped.withColumn("deduplicated", F.when(F.col("bytes") == 0, F.lit(0.0)).otherwise(1 - F.col("new_bytes") / F.col("bytes")))
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,6 +69,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splittable(lookup: DataFrame) -> DataFrame:
+    """``lookup`` behind a shuffle of its own, for a join whose other side may have hot keys.
+
+    Adaptive execution splits a hot key only where both sides of the join are plain
+    shuffles; an aggregate on the join key would stand in between. The lookup side has
+    one row a key, so this costs little.
+    """
+    return lookup.repartition(F.xxhash64(*lookup.columns))
+
+
 def _tables_of(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lamella-{spark.sparkContext.applicationId}"
 

@@ -253,3 +253,23 @@ def test_streamed_reference_counts(spark, tmp_path):
     q.stop()
     got = sorted((str(r["period"])[:10], r["digest"][0], r["refs"]) for r in spark.table("refs").collect())
     assert got == sorted((str(r["period"])[:10], r["digest"][0], r["refs"]) for r in layer_references(df).collect()) == [("2024-01-01", "a", 2), ("2024-01-01", "b", 1), ("2024-01-03", "a", 1)]
+
+
+def test_hot_keys_of_a_join_are_split(spark):
+    """An aggregated lookup keeps adaptive execution from splitting, unless it is splittable."""
+    from lamella.session import splittable
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 4).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        lookup = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.min("id").alias("v"))
+        for side, split in ((lookup, False), (splittable(lookup), True)):
+            df = rows.join(side, "k", "left").agg(F.max("x"), F.max("v"))
+            df.collect()
+            assert ("skew=true" in df._jdf.queryExecution().executedPlan().toString()) == split
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
