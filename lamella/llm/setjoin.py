@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import written
+from lamella.session import splittable, written
 
 #: Rows of a posting list handled in one task.
 BLOCK = 2000
@@ -45,7 +45,7 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     # written before it is used twice: ranks may come out differently in a second run
     keyed = written(sets.withColumn("digest", F.sha2(F.to_json("tokens"), 256)), "sets")
     classes = keyed.groupBy("digest").agg(F.min("record").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    stored = written(keyed.join(classes, "digest").drop("digest"), "set-classes")
+    stored = written(keyed.join(splittable(classes), "digest").drop("digest"), "set-classes")
     return stored.where(F.col("record") == F.col("class_id")).drop("record"), stored.select("record", "class_id", "copies")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.fmindex import shared_windows
-from lamella.session import parallelism, written
+from lamella.session import parallelism, splittable, written
 
 LENGTH = 120
 #: Characters of the k-grams whose least hash is a window's anchor.
@@ -176,7 +176,7 @@ def _by_window(regions: DataFrame, length: int) -> DataFrame:
     cut = regions.select("anchor", "digest", "rep", "last", "region").mapInArrow(run, "window binary, anchor bigint, digest binary, rep bigint, last bigint, at bigint")
     windows = written(cut, "hot-windows")
     shared = windows.groupBy("window").agg(F.min("rep").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("window")
-    return windows.join(shared, "window", "left_semi").select("anchor", "digest", F.col("at").alias("first"), F.col("at").alias("last"))
+    return windows.join(splittable(shared), "window", "left_semi").select("anchor", "digest", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
 def _sharded(regions: DataFrame, shard: int) -> DataFrame:
@@ -223,7 +223,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int | None =
 
     runs = written(_runs(reps, length, gram), "anchor-runs")
     several = runs.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("anchor")
-    per_text = runs.join(several, "anchor").groupBy("rep").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
+    per_text = runs.join(splittable(several), "anchor").groupBy("rep").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
     regions = _cut(per_text.join(reps.select("rep", "text"), "rep"), length)
     regions = written(regions.withColumn("digest", F.unhex(F.md5("region"))), "regions")
 
@@ -231,7 +231,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int | None =
     classes = written(classes, "region-classes")
     every = classes.where("rep < last").select("anchor", "digest", F.lit(0).cast("bigint").alias("first"), (F.col("windows") - 1).alias("last"))
     crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("anchor")
-    apart = classes.join(crowded, "anchor", "left_semi")
+    apart = classes.join(splittable(crowded), "anchor", "left_semi")
     hot = _hot_anchors(apart, shard)
     windows = every
     if hot is not None:
