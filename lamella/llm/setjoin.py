@@ -72,7 +72,7 @@ def similar_classes(classes: DataFrame, threshold: Fraction, block: int = BLOCK)
     rows = rows.withColumn("span", F.size(F.filter(borders, lambda b: b <= F.col("n"))))
     longs = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     blocks = longs.select("rank", F.expr(f"cast((len + {block - 1}) div {block} as int)").alias("blocks"))
-    posted = written(rows.join(blocks, "rank"), "postings")
+    posted = written(rows.join(splittable(blocks), "rank"), "postings")
     a = posted.select("rank", "span", F.expr("pmod(xxhash64(class_id), blocks)").cast("int").alias("block"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     # the longer set of a pair is of the shorter one's length class or of the next
     b = posted.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") - 1)))
