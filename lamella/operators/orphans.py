@@ -7,7 +7,7 @@ join that also compares times, so the filter's error rate changes the cost only.
 Scale. The filter has at most ``MAX_BITS`` (8 MiB) whatever the table; beyond about
 ten million keys more references pass to the join, none is lost. Parents are
 pre-aggregated to one row a key; a hot reference key sits on the join's streamed
-side, which adaptive execution splits (``session.splittable``).
+side, which adaptive execution splits.
 
 Defined cases. References and parents that are no well-formed digest, null lists and
 null elements refer to nothing. A null time of the parent or of the reference meets
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import digests
-from lamella.session import splittable
+from lamella.session import written
 
 MAX_BITS = 1 << 26
 BITS_PER_KEY = 10
@@ -55,14 +55,13 @@ def unmet(references: DataFrame, parents: DataFrame, max_bits: int = MAX_BITS) -
     when a parent of its scope and digest has since <= at.
     """
     live = parents.where(F.col("digest").isNotNull() & F.col("scope").isNotNull() & F.col("since").isNotNull())
-    hashed = live.select(F.xxhash64("scope", "digest").alias("h"))
-    expected = hashed.count()  # rows, so an upper bound of the keys
+    # written: counted, filtered on and joined, and a plain scan leaves hot references splittable
+    first = written(live.groupBy("scope", "digest").agg(F.min("since").alias("since")), "parents")
+    expected = first.count()
     if not expected:
         return references
-    bits = bloom_filter(hashed, "h", expected, max_bits)
+    bits = bloom_filter(first.select(F.xxhash64("scope", "digest").alias("h")), "h", expected, max_bits)
     known = references.withColumn("known", might_contain(references, bits, F.xxhash64("scope", "digest")))
-    first = splittable(live.groupBy("scope", "digest").agg(F.min("since").alias("since")))
-    # rows the filter rejects get a null join key: they stay where they are, unmatched
     orphans = known.where(~F.col("known")).drop("known")
     joined = known.where("known").drop("known").join(first, ["scope", "digest"], "left")
     verified = joined.where(F.coalesce(F.col("since") > F.col("at"), F.lit(True))).select(*references.columns)
