@@ -114,10 +114,15 @@ def fetch_layers(spark, root: str) -> DataFrame:
 
 
 def render(df: DataFrame, form: str = "json", most: int = 100_000) -> str:
-    """A small result as json, yaml or text; an empty one is ``[]`` or its header."""
+    """A small result as json, yaml or text; an empty one is ``[]`` or its header.
+
+    ValueError beyond ``most`` rows: such a result belongs in a table, not in a text.
+    """
     if form not in ("json", "yaml", "text"):
         raise ValueError(f"unknown form {form!r}")
-    rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    rows = [r.asDict(recursive=True) for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as a table")
     if form == "json":
         return json.dumps(rows, default=str, ensure_ascii=False)
     if form == "yaml":
