@@ -51,7 +51,8 @@ def delete_objects(plan: DataFrame, root: str, confirm: bool = False) -> int:
 def store_chunks(layers: DataFrame, layer_id: str, content: str, root: str, fmt=None) -> DataFrame:
     """Chunk layers and store what is missing: chunk objects first, then recipes.
 
-    Frames are compressed once for each new digest. Returns (id, n_chunks, bytes,
+    Frames are compressed once for each new digest. A recipe is keyed by the digest of
+    its frames in order, which is what manifests refer to. Returns (id, n_chunks, bytes,
     new_chunks, new_bytes, deduplicated) per layer.
     """
     from lamella.operators import chunking
@@ -67,15 +68,42 @@ def store_chunks(layers: DataFrame, layer_id: str, content: str, root: str, fmt=
     data = layers.select(F.col(layer_id).cast("bigint").alias("id"), F.col(content).cast("binary").alias("data")).join(where, "id")
     frames = data.select(F.concat(F.lit("chunks/sha256/"), "digest").alias("object_key"), zstd_compress(F.expr("substring(data, cast(start + 1 as int), cast(size as int))")).alias("content"))
     put_objects(frames, root)
-    recipe = chunks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size"))).alias("c"), F.sum("size").alias("size"))
+    parts = chunks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size"))).alias("chunks"))
     layer = layers.select(F.col(layer_id).cast("bigint").alias("id"), F.sha2(F.col(content).cast("binary"), 256).alias("layer"))
-    body = F.to_json(F.struct("layer", "size", F.transform("c", lambda x: F.struct(x["digest"].alias("digest"), x["size"].alias("size"))).alias("chunks")))
-    put_objects(recipe.join(layer, "id").select(F.concat(F.lit("recipes/sha256/"), "layer").alias("object_key"), body.cast("binary").alias("content")), root)
+    put_objects(_recipes(parts.join(layer, "id"), root), root)
     known = stored.distinct().withColumn("known", F.lit(True))
     per = chunks.join(known, "digest", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("size").alias("bytes"), F.count_if(F.col("known").isNull()).alias("new_chunks"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("size"))), F.lit(0)).alias("new_bytes"))
     return per.withColumn("deduplicated", F.when(F.col("bytes") == 0, F.lit(0.0)).otherwise(1 - F.col("new_bytes") / F.col("bytes")))
 
 
+def _recipes(parts: DataFrame, root: str) -> DataFrame:
+    """(object_key, content) of the recipes of (layer, chunks).
+
+    Digest and sizes are those of the frames as stored, as another writer may have
+    compressed a chunk otherwise; one frame is held at a time.
+    """
+    import hashlib
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, bodies = [], []
+            for layer, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole, held = hashlib.sha256(), []
+                for chunk in chunks:
+                    with open(safe_path(root, f"chunks/sha256/{chunk['digest']}"), "rb") as f:
+                        frame = f.read()
+                    whole.update(frame)
+                    held.append({"digest": chunk["digest"], "size": chunk["size"], "compressedSize": len(frame)})
+                recipe = {"layer": layer, "size": sum(c["size"] for c in held), "compressedDigest": whole.hexdigest(), "compressedSize": sum(c["compressedSize"] for c in held), "chunks": held}
+                keys.append(f"recipes/sha256/{whole.hexdigest()}")
+                bodies.append(json.dumps(recipe).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(bodies, pa.binary())], names=["object_key", "content"])
+
+    return parts.select("layer", "chunks").mapInArrow(run, "object_key string, content binary")
+
+
 def fetch_layers(spark, root: str) -> DataFrame:
     """(layer, size, ok): every recipe's layer put together from its chunks and verified.
 

@@ -2,14 +2,15 @@ import hashlib
 import io
 import json
 import os
+import random
 import tarfile
 import time
 
 import pytest
 
 from lamella import cli
-from lamella.operators import catalog, reach
-from lamella.sources import settings
+from lamella.operators import catalog, chunking, reach
+from lamella.sources import settings, sinks
 from lamella.sources.bucket import Bucket
 
 
@@ -27,6 +28,12 @@ def tar(**files):
     return buf.getvalue()
 
 
+def put_manifest(root, tag, layers):
+    os.makedirs(f"{root}/manifests/{tag}", exist_ok=True)
+    with open(f"{root}/manifests/{tag}/manifest.json", "w") as f:
+        json.dump({"schemaVersion": 2, "layers": layers}, f)
+
+
 @pytest.fixture
 def root(tmp_path):
     def put(key, data):
@@ -76,6 +83,24 @@ def test_clean_is_a_plan_first(spark, root, capsys):
     assert sum(len(f) for _, _, f in os.walk(root)) == before
 
 
+def test_stored_layers_survive_clean(spark, tmp_path):
+    root, data = str(tmp_path), random.Random(3).randbytes(20_000)
+    sinks.store_chunks(spark.createDataFrame([(0, bytearray(data))], "id bigint, content binary"), "id", "content", root, chunking.SMALL)
+    (key,) = os.listdir(f"{root}/recipes/sha256")
+    recipe = json.load(open(f"{root}/recipes/sha256/{key}"))
+    frames = [open(f"{root}/chunks/sha256/{c['digest']}", "rb").read() for c in recipe["chunks"]]
+    assert key == recipe["compressedDigest"] == hashlib.sha256(b"".join(frames)).hexdigest()
+    assert [c["compressedSize"] for c in recipe["chunks"]] == [len(f) for f in frames] and recipe["compressedSize"] == sum(map(len, frames))
+    assert recipe["layer"] == hashlib.sha256(data).hexdigest() and recipe["size"] == 20_000
+    put_manifest(root, "app/v1", [{"digest": f"sha256:{key}", "size": recipe["compressedSize"]}])
+    later = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(time.time() + 7200))
+    b = Bucket(spark, root)
+    assert cli.clean_plan(b, later).count() == 0
+    put_manifest(root, "app/v1", [{"digest": f"sha256:{recipe['layer']}", "size": 20_000}])
+    moved = reach.retargeted_layers(catalog.plain_manifests(b.manifest()), b.recipe()).first()
+    assert (moved["digest"], moved["size_bytes"], moved["retargeted"]) == (key, recipe["compressedSize"], True)
+
+
 def test_configuration_edits():
     c = settings.changed({}, "lifecycle.keep_last", "3", "a/*")
     c = settings.changed(c, "lifecycle.keep_tags", "x, y", "a/*")
