@@ -15,9 +15,8 @@ from lamella.sources import objects, settings, sinks
 from lamella.sources.bucket import Bucket
 
 
-def expired_tags(bucket: Bucket, now: str, config: str) -> DataFrame:
+def expired_tags(bucket: Bucket, manifest: DataFrame, now: str, config: str) -> DataFrame:
     """(image, tag) behind the kept number and over the age of their rule; immutable images have none."""
-    manifest = bucket.manifest()
     tags = manifest.where("image is not null and tag is not null").groupBy("image", "tag").agg(F.max("stored_at").alias("at"))
     rules = policy.effective(tags, bucket.rules(config)).where("not coalesce(immutable, false) and (keep_last is not null or max_age is not null)")
     return policy.retention_ranks(tags, rules, now).where("beyond and aged").select("image", "tag")
@@ -27,17 +26,22 @@ def clean_plan(bucket: Bucket, now: str, config: str = "config.yaml", cascade: b
     """(object_key, size_bytes, reason): keys of expired tags and of garbage.
 
     ``cascade`` counts what only expired tags keep as garbage too; without it, that
-    shows in the next run. The plan is written before it is returned.
+    shows in the next run. The plan is written before it is returned. ValueError if a
+    manifest or a live recipe is missing or cannot be read or parsed: what it keeps alive
+    is unknown.
     """
-    expired = written(expired_tags(bucket, now, config), "expired")
+    manifest = bucket.manifest(strict=True)
+    expired = written(expired_tags(bucket, manifest, now, config), "expired")
     listed = bucket.keys("manifests/")
     owner = listed.select("object_key", "size_bytes", F.regexp_extract("object_key", r"^manifests/(.+)/([^/]+)/(?:manifest\.json|signatures/[^/]+)\z", 1).alias("image"), F.regexp_extract("object_key", r"^manifests/(.+)/([^/]+)/(?:manifest\.json|signatures/[^/]+)\z", 2).alias("tag"))
     tags = owner.join(expired, ["image", "tag"], "left_semi").select("object_key", "size_bytes", F.lit("expired").alias("reason"))
-    manifest = bucket.manifest()
     kept = catalog.current_tags(manifest)
     if cascade:
         kept = kept.join(expired, ["image", "tag"], "left_anti")
-    dead = reach.garbage(bucket.object_listing(), reach.reachable(manifest, bucket.recipe(), kept), now).where("old_enough")
+    recipe = written(bucket.recipe(), "recipes")
+    live = written(reach.reachable(manifest, recipe, kept), "live")
+    bucket.check_recipes(recipe, live)
+    dead = reach.garbage(bucket.object_listing(), live, now).where("old_enough")
     keys = dead.select(F.concat_ws("/", "kind", F.lit("sha256"), "digest").alias("object_key"), "size_bytes", F.lit("garbage").alias("reason"))
     return written(tags.unionByName(keys), "plan")
 

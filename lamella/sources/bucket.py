@@ -14,6 +14,12 @@ _PLATFORM = "struct<os:string,architecture:string,variant:string>"
 _DESCRIPTOR = "struct<media_type:string,digest:string,size_bytes:bigint>"
 
 
+def _refuse(bad: DataFrame, what: str) -> None:
+    some = [r["object_key"] for r in bad.select("object_key").limit(5).collect()]
+    if some:
+        raise ValueError(f"{what}: {', '.join(some)}")
+
+
 class Bucket:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
@@ -26,10 +32,8 @@ class Bucket:
         return self.keys().select(F.xxhash64("object_key").alias("listing_id"), "*", F.lit(None).cast("timestamp").alias("deleted_at"))
 
     def _parsed(self, keys: DataFrame) -> DataFrame:
-        read = objects.with_content(keys, self.root).withColumn("text", F.col("content").cast("string"))
-        valid = F.coalesce(F.try_parse_json("text").isNotNull() & F.ltrim("text").startswith("{"), F.lit(False))
-        m = F.from_json(F.when(valid, F.col("text")), objects.MANIFEST_SCHEMA)
-        rows = read.select("object_key", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), m.alias("m"))
+        read = objects.with_json(keys, self.root, objects.MANIFEST_SCHEMA)
+        rows = read.select("object_key", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), "valid", F.col("parsed").alias("m"))
 
         def one(x):
             return F.struct(x["mediaType"].alias("media_type"), x["digest"].alias("digest"), x["size"].alias("size_bytes"))
@@ -38,25 +42,37 @@ class Bucket:
             F.xxhash64("object_key").alias("manifest_id"), F.nullif(names.image_of_key(F.col("object_key")), F.lit("")).alias("image"), F.nullif(names.tag_of_key(F.col("object_key")), F.lit("")).alias("tag"), "digest",
             F.col("m.schemaVersion").alias("schema_version"), F.col("m.mediaType").alias("media_type"), F.when(F.col("m.config").isNotNull(), one(F.col("m.config"))).cast(_DESCRIPTOR).alias("config"),
             F.transform("m.layers", one).alias("layers"), F.transform("m.manifests", lambda x: F.struct(x["mediaType"].alias("media_type"), x["digest"].alias("digest"), x["size"].alias("size_bytes"), x["platform"].cast(_PLATFORM).alias("platform"))).alias("manifests"),
-            "object_key",
+            "object_key", "valid",
         )
 
-    def manifest(self) -> DataFrame:
-        """Manifests of tags and, level by level, those that indexes list among the blobs."""
+    def manifest(self, strict: bool = False) -> DataFrame:
+        """Manifests of tags and, level by level, those that indexes list among the blobs.
+
+        ``strict``: ValueError for one that is missing or cannot be read or parsed, as
+        what it keeps alive is unknown. Else it is a row without references.
+        """
         listed = written(self.keys(), "keys")
         times = listed.select("object_key", F.col("last_modified").alias("stored_at"))
         found = written(self._parsed(listed.where(F.col("object_key").rlike(r"^manifests/.+/[^/]+/manifest\.json\z"))), "manifests")
         every, front = found, found
         while True:
-            wanted = front.select(F.explode("manifests.digest").alias("d")).select(F.regexp_replace("d", "^sha256:", "blobs/sha256/").alias("object_key")).distinct()
+            if strict:
+                _refuse(front.where("not valid"), "manifests that cannot be read or parsed")
+            wanted = front.select(F.explode("manifests.digest").alias("d")).where("d <> ''").select(F.regexp_replace("d", "^sha256:", "blobs/sha256/").alias("object_key")).distinct()
+            if strict:
+                _refuse(wanted.join(listed, "object_key", "left_anti"), "manifests that indexes list and nothing stores")
             front = written(self._parsed(listed.join(wanted, "object_key", "left_semi").join(every.select("object_key"), "object_key", "left_anti")), "manifests")
             if front.isEmpty():
-                return every.join(times, "object_key").drop("object_key")
+                return every.join(times, "object_key").drop("object_key", "valid")
             every = every.unionByName(front)
 
     def recipe(self) -> DataFrame:
         return objects.recipes(self.spark, self.root).withColumn("recipe_id", F.xxhash64("compressed_digest", "layer"))
 
+    def check_recipes(self, recipe: DataFrame, live: DataFrame) -> None:
+        """ValueError if a recipe of a layer in ``live`` (kind, digest) could not be read or parsed."""
+        _refuse(recipe.where("not valid").join(live.select(F.col("digest").alias("compressed_digest")), "compressed_digest", "left_semi"), "recipes that cannot be read or parsed")
+
     def rules(self, name: str = "config.yaml") -> DataFrame:
         return objects.config_rules(self.spark, objects.bucket_config(objects.safe_path(self.root, name)))
 

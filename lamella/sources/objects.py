@@ -8,6 +8,7 @@ folders under the prefix, so it runs on executors.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
@@ -83,26 +84,82 @@ def safe_path(root: str, key: str) -> str:
     return path
 
 
+#: Most bytes of one value.
+MOST = (1 << 31) - 1
+#: Bytes of content after which a batch is handed on.
+HELD = 64 << 20
+
+
 def with_content(objects: DataFrame, root: str, most_bytes: int = 64 << 20) -> DataFrame:
     """(object_key, content) of small objects, read on the executors that hold the keys.
 
     Content is null for an object that is gone or larger than ``most_bytes``.
     """
+    return _read(objects, root, most_bytes).drop("whole")
+
+
+def with_json(objects: DataFrame, root: str, schema: str) -> DataFrame:
+    """(object_key, content, valid, parsed) of objects that refer to others.
+
+    ``valid`` is false for what could not be read, is not one JSON object, names a key
+    twice or has a field of another type than ``schema``; what such an object refers to
+    is unknown, not nothing. Its ``parsed`` is null.
+    """
+    read = _read(objects, root, MOST)
+    parsed = F.from_json(F.when(F.col("whole"), F.col("content").cast("string")), schema + ", _corrupt_record string").alias("p")
+    valid = F.col("whole") & F.col("p._corrupt_record").isNull()
+    rows = read.select("object_key", "content", "whole", parsed).select("object_key", "content", valid.alias("valid"), F.when(valid, F.col("p")).alias("parsed"))
+    return rows.withColumn("parsed", F.col("parsed").dropFields("_corrupt_record"))
+
+
+def is_object(data: bytes | None) -> bool:
+    """One JSON object in UTF-8 without repeated keys?"""
+
+    def once(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} is not JSON")
+
+    try:
+        return data is not None and isinstance(json.loads(data.decode(), object_pairs_hook=once, parse_constant=refuse), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def _read(objects: DataFrame, root: str, most_bytes: int) -> DataFrame:
+    """(object_key, content, whole): ``whole`` tells content that is a JSON object."""
+
+    def content(key: str) -> bytes | None:
+        try:
+            path = safe_path(root, key)
+            if os.path.getsize(path) > most_bytes:
+                return None
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
 
     def run(batches):
         import pyarrow as pa
 
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())], names=["object_key", "content", "whole"])
+
         for batch in batches:
-            keys, data = batch.column(0).to_pylist(), []
-            for key in keys:
-                try:
-                    path = safe_path(root, key)
-                    data.append(open(path, "rb").read() if os.path.getsize(path) <= most_bytes else None)
-                except OSError:
-                    data.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], names=["object_key", "content"])
+            rows, held = [], 0
+            for key in batch.column(0).to_pylist():
+                data = content(key)
+                if rows and held + len(data or b"") > HELD:
+                    yield packed(rows)
+                    rows, held = [], 0
+                rows.append((key, data, is_object(data)))
+                held += len(data or b"")
+            yield packed(rows)
 
-    return objects.select("object_key").mapInArrow(run, "object_key string, content binary")
+    return objects.select("object_key").mapInArrow(run, "object_key string, content binary, whole boolean")
 
 
 MANIFEST_SCHEMA = """schemaVersion int, mediaType string, config struct<mediaType:string,digest:string,size:bigint>,
@@ -114,23 +171,26 @@ RECIPE_SCHEMA = "layer string, size bigint, compressedDigest string, compressedS
 def manifests(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Manifest rows of a bucket: image, tag, valid and the parsed fields.
 
-    ``valid`` is false for text that is no JSON object, which from_json alone would
-    show as a row of nulls.
+    ``valid`` is false for what ``with_json`` cannot vouch for.
     """
     keys = list_objects(spark, root, f"manifests/{prefix}").where(F.col("object_key").endswith("/manifest.json"))
     from lamella.functions import names
 
-    read = with_content(keys, root).withColumn("text", F.col("content").cast("string"))
-    valid = F.coalesce(F.try_parse_json("text").isNotNull() & F.ltrim("text").startswith("{"), F.lit(False))
-    parsed = F.from_json(F.when(valid, F.col("text")), MANIFEST_SCHEMA)
+    read = with_json(keys, root, MANIFEST_SCHEMA)
     digest = F.concat(F.lit("sha256:"), F.sha2("content", 256))
-    return read.select(names.image_of_key(F.col("object_key")).alias("image"), names.tag_of_key(F.col("object_key")).alias("tag"), digest.alias("digest"), valid.alias("valid"), parsed.alias("m")).select("image", "tag", "digest", "valid", "m.*")
+    return read.select(names.image_of_key(F.col("object_key")).alias("image"), names.tag_of_key(F.col("object_key")).alias("tag"), digest.alias("digest"), "valid", F.col("parsed").alias("m")).select("image", "tag", "digest", "valid", "m.*")
 
 
 def recipes(spark: SparkSession, root: str) -> DataFrame:
-    keys = list_objects(spark, root, "recipes/")
-    parsed = with_content(keys, root).select(F.from_json(F.col("content").cast("string"), RECIPE_SCHEMA).alias("r"))
-    return parsed.select(F.col("r.compressedDigest").alias("compressed_digest"), "r.layer", F.col("r.size").alias("size_bytes"), F.col("r.compressedSize").alias("compressed_size"), F.transform("r.chunks", lambda c: F.struct(c["digest"].alias("digest"), c["size"].alias("size_bytes"), c["compressedSize"].alias("compressed_size"))).alias("chunks"))
+    """Recipe rows of a bucket with their key and whether they could be parsed.
+
+    A layer is resolved by the recipe's key, so that is its compressed digest; a recipe
+    without one of its own is that of a raw layer.
+    """
+    keyed = F.nullif(F.regexp_extract("object_key", r"^recipes/sha256/([0-9a-f]{64})\z", 1), F.lit(""))
+    read = with_json(list_objects(spark, root, "recipes/"), root, RECIPE_SCHEMA).select("object_key", "valid", F.col("parsed").alias("r"))
+    raw = F.col("r.compressedDigest").isNull()
+    return read.select(F.coalesce(keyed, "r.compressedDigest").alias("compressed_digest"), "r.layer", F.col("r.size").alias("size_bytes"), F.when(raw, F.col("r.size")).otherwise(F.col("r.compressedSize")).alias("compressed_size"), F.transform("r.chunks", lambda c: F.struct(c["digest"].alias("digest"), c["size"].alias("size_bytes"), c["compressedSize"].alias("compressed_size"))).alias("chunks"), "object_key", "valid")
 
 
 def bucket_config(path: str) -> dict:

@@ -108,23 +108,26 @@ def fetch_layers(spark, root: str) -> DataFrame:
     """(layer, size, ok): every recipe's layer put together from its chunks and verified.
 
     Layers stream through one hash, chunk by chunk; ``ok`` is false for a missing or
-    damaged chunk, a wrong size or a wrong digest of the whole.
+    damaged chunk, a wrong size or a wrong digest of the whole, and for a recipe that
+    cannot be read or parsed, which is named by its key.
     """
     import hashlib
 
     import zstandard
 
-    from lamella.sources.objects import list_objects, with_content
+    from lamella.sources.objects import RECIPE_SCHEMA, list_objects, with_json
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
-                recipe = json.loads(text)
+            for key, recipe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if recipe is None or recipe["layer"] is None or any(c is None for c in recipe["chunks"] or []):
+                    out.append((key.rpartition("/")[2], 0, False))
+                    continue
                 whole, size, ok = hashlib.sha256(), 0, True
-                for chunk in recipe["chunks"]:
+                for chunk in recipe["chunks"] or []:
                     try:
                         with open(safe_path(root, f"chunks/sha256/{chunk['digest']}"), "rb") as f:
                             data = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
@@ -137,8 +140,8 @@ def fetch_layers(spark, root: str) -> DataFrame:
                 out.append((recipe["layer"], size, ok and size == recipe["size"] and whole.hexdigest() == recipe["layer"]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.bool_())], names=["layer", "size", "ok"])
 
-    texts = with_content(list_objects(spark, root, "recipes/sha256/"), root).where(F.col("content").isNotNull()).select(F.col("content").cast("string"))
-    return texts.mapInArrow(run, "layer string, size bigint, ok boolean")
+    found = with_json(list_objects(spark, root, "recipes/sha256/"), root, RECIPE_SCHEMA).select("object_key", "parsed")
+    return found.mapInArrow(run, "layer string, size bigint, ok boolean")
 
 
 def render(df: DataFrame, form: str = "json", most: int = 100_000) -> str:

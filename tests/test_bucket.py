@@ -101,6 +101,29 @@ def test_stored_layers_survive_clean(spark, tmp_path):
     assert (moved["digest"], moved["size_bytes"], moved["retargeted"]) == (key, recipe["compressedSize"], True)
 
 
+def test_clean_refuses_what_it_cannot_read(spark, root):
+    now = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())
+    b = Bucket(spark, root)
+    path = f"{root}/manifests/org/app/v1/manifest.json"
+    good = open(path, "rb").read()
+    child = json.loads(good)["manifests"][0]["digest"].removeprefix("sha256:")
+    for bad in (b"{broken", b"[]", good + b"x", good.replace(b'"manifests": [', b'"manifests": ["x", '), good.replace(child.encode(), b"0" * 64)):
+        open(path, "wb").write(bad)
+        with pytest.raises(ValueError, match="manifests that"):
+            cli.clean_plan(b, now)
+    open(path, "wb").write(good[:-1] + b" " * (65 << 20) + b"}")
+    assert cli.clean_plan(b, now).where("reason = 'garbage'").count() == 1  # large is read, not garbage
+    open(path, "wb").write(good)
+    layer = json.load(open(f"{root}/manifests/org/app/_v2/manifest.json"))["layers"][0]["digest"].removeprefix("sha256:")
+    os.makedirs(f"{root}/recipes/sha256")
+    open(f"{root}/recipes/sha256/{'0' * 64}", "wb").write(b"{broken")
+    assert cli.clean_plan(b, now).where("reason = 'garbage'").count() == 1  # nothing live needs it
+    assert [tuple(r) for r in sinks.fetch_layers(spark, root).collect()] == [("0" * 64, 0, False)]
+    open(f"{root}/recipes/sha256/{layer}", "wb").write(b'{"layer": "x", "chunks": "none"}')
+    with pytest.raises(ValueError, match="recipes that"):
+        cli.clean_plan(b, now)
+
+
 def test_configuration_edits():
     c = settings.changed({}, "lifecycle.keep_last", "3", "a/*")
     c = settings.changed(c, "lifecycle.keep_tags", "x, y", "a/*")
