@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import io
+import itertools
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -22,11 +26,14 @@ def entries_of(data: bytes) -> list[tuple]:
 
     Raises ValueError for bytes that are no tar; an empty input has no entries.
     """
-    if not data:
-        return []
+    return entries_of_file(io.BytesIO(data)) if data else []
+
+
+def entries_of_file(file: io.IOBase) -> list[tuple]:
+    """The same of a file that can seek, of which only headers are read."""
     out = []
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
+        with tarfile.open(fileobj=file, mode="r:") as tar:
             for pos, m in enumerate(tar):
                 if m.isfile():
                     out.append((pos, normal(m.name), m.offset_data, m.size, None, None))
@@ -38,6 +45,51 @@ def entries_of(data: bytes) -> list[tuple]:
     return out
 
 
+class ChunkedFile(io.RawIOBase):
+    """A layer read through its chunks: each is fetched when a read first touches it.
+
+    ``chunks``: (digest, size) in order; ``fetch`` gives the stored frame of a digest.
+    OSError for a chunk that is missing, damaged or of another size than listed.
+    """
+
+    def __init__(self, chunks: list[tuple[str, int]], fetch: Callable[[str], bytes]) -> None:
+        self.chunks, self.fetch = chunks, fetch
+        self.ends = list(itertools.accumulate(size for _, size in chunks))
+        self.at, self.held, self.data = 0, -1, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + (0, self.at, self.ends[-1] if self.ends else 0)[whence])
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, out) -> int:
+        k = bisect.bisect_right(self.ends, self.at)
+        if k == len(self.ends):
+            return 0
+        if k != self.held:
+            digest, size = self.chunks[k]
+            try:
+                data = zstandard.ZstdDecompressor().stream_reader(self.fetch(digest), read_across_frames=True).read()
+            except zstandard.ZstdError as e:
+                raise OSError(f"chunk {digest}: {e}") from e
+            if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
+                raise OSError(f"chunk {digest} is damaged")
+            self.held, self.data = k, data
+        begin = self.at - (self.ends[k] - self.chunks[k][1])
+        part = self.data[begin : begin + len(out)]
+        out[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
 def tar_entries(layers: DataFrame, layer_id: str, content: str) -> DataFrame:
     """Entries of every layer; ``state`` is ok, or says on one row why there are none.
 
@@ -67,8 +119,6 @@ def tar_entries(layers: DataFrame, layer_id: str, content: str) -> DataFrame:
 
 @F.pandas_udf(BinaryType())
 def zstd_compress(data: pd.Series) -> pd.Series:
-    import zstandard
-
     enc = zstandard.ZstdCompressor(level=3)
     return data.map(lambda x: None if x is None else enc.compress(bytes(x)))
 
@@ -76,8 +126,6 @@ def zstd_compress(data: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def zstd_decompress(data: pd.Series) -> pd.Series:
     """Content of one or more frames; null for bytes that are none."""
-    import zstandard
-
     def one(x: bytes | None) -> bytes | None:
         if x is None:
             return None

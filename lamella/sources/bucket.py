@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,39 @@ def _refuse(bad: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {', '.join(some)}")
 
 
+def open_layer(root: str, digest: str | None) -> io.BufferedIOBase:
+    """A layer as a file, through the chunks of its recipe or from its blob.
+
+    OSError for a layer that is neither, or whose recipe or content is damaged.
+    """
+    if digest is None:
+        raise OSError("no well-formed digest")
+    try:
+        with open(objects.safe_path(root, f"recipes/sha256/{digest}"), "rb") as f:
+            body = f.read()
+    except FileNotFoundError:
+        blob = open(objects.safe_path(root, f"blobs/sha256/{digest}"), "rb")
+        if hashlib.file_digest(blob, "sha256").hexdigest() != digest:
+            blob.close()
+            raise OSError(f"blob {digest} is damaged") from None
+        blob.seek(0)
+        return blob
+
+    def fetch(chunk: str) -> bytes:
+        with open(objects.safe_path(root, f"chunks/sha256/{chunk}"), "rb") as f:
+            return f.read()
+
+    try:
+        recipe = json.loads(body)
+        chunks = [(str(c["digest"]), int(c["size"])) for c in recipe["chunks"]]
+        whole = sum(size for _, size in chunks) == recipe["size"]
+    except (ValueError, TypeError, KeyError) as e:
+        raise OSError(f"recipe {digest} cannot be parsed") from e
+    if not whole:
+        raise OSError(f"recipe {digest} does not add up")
+    return io.BufferedReader(archives.ChunkedFile(chunks, fetch))
+
+
 class Bucket:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
@@ -76,20 +113,44 @@ class Bucket:
     def rules(self, name: str = "config.yaml") -> DataFrame:
         return objects.config_rules(self.spark, objects.bucket_config(objects.safe_path(self.root, name)))
 
-    def layers(self, digests: DataFrame) -> DataFrame:
-        """(digest, content) of whole layers among ``digests`` (hex)."""
-        keys = digests.select(F.concat(F.lit("blobs/sha256/"), "digest").alias("object_key"))
-        return objects.with_content(keys, self.root, (1 << 31) - 1).select(F.substring("object_key", 14, 64).alias("digest"), "content")
+    def layer_entries(self, order: DataFrame) -> DataFrame:
+        """Tar entries of the layers in ``order`` (layer_pos, digest), as ``archives.tar_entries``.
+
+        A layer is held as recipe and chunks or as a blob of any size. One that is
+        missing, damaged, compressed or no tar has one row, whose ``state`` says so.
+        """
+        root = self.root
+
+        def run(batches):
+            import pyarrow as pa
+
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            names = ["id", "entry_pos", "path", "offset", "size", "link", "link_type", "state"]
+            for batch in batches:
+                for pos, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    try:
+                        with open_layer(root, digest) as f:
+                            head = f.read(4)
+                            f.seek(0)
+                            packed = head[:2] == b"\x1f\x8b" or head == b"\x28\xb5\x2f\xfd"
+                            rows = [(pos, *[None] * 6, "compressed")] if packed else [(pos, *entry, "ok") for entry in (archives.entries_of_file(f) if head else [])]
+                    except OSError as e:
+                        rows = [(pos, *[None] * 6, f"cannot be read: {e}")]
+                    except ValueError:
+                        rows = [(pos, *[None] * 6, "not a tar")]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+        return order.select(F.col("layer_pos").cast("bigint").alias("id"), "digest").mapInArrow(run, archives.ENTRY_SCHEMA)
 
     def cat(self, layer_digests: list[str], path: str) -> bytes:
         """Content of one file of an image given by its layers, lowest first.
 
         FileNotFoundError if the image does not show the path; ValueError if a layer is
-        compressed or no tar, as the path may then be in it.
+        missing, damaged, compressed or no tar, as the path may then be in it. Of a
+        layer held as chunks, only those of tar headers and of the file are read.
         """
         order = self.spark.createDataFrame([(k, d) for k, d in enumerate(layer_digests)], "layer_pos int, digest string")
-        held = self.layers(order).join(order, "digest")
-        entries = written(archives.tar_entries(held, "layer_pos", "content"), "entries")
+        entries = written(self.layer_entries(order), "entries")
         bad = entries.where("state <> 'ok'").limit(1).collect()
         if bad:
             raise ValueError(f"layer {bad[0]['id']}: {bad[0]['state']}")
@@ -99,6 +160,6 @@ class Bucket:
             raise FileNotFoundError(f"{path}: {target['state']}")
         at = seen.where(F.col("path") == target["target"]).first()["layer_pos"]
         entry = entries.where((F.col("id") == at) & (F.col("path") == target["target"])).orderBy(F.desc("entry_pos")).first()
-        with open(objects.safe_path(self.root, f"blobs/sha256/{layer_digests[at]}"), "rb") as f:
+        with open_layer(self.root, layer_digests[at]) as f:
             f.seek(entry["offset"])
             return f.read(entry["size"])

@@ -124,6 +124,29 @@ def test_clean_refuses_what_it_cannot_read(spark, root):
         cli.clean_plan(b, now)
 
 
+def test_cat_reads_layers_held_as_chunks(spark, root):
+    def held(data):
+        sinks.store_chunks(spark.createDataFrame([(0, bytearray(data))], "id bigint, content binary"), "id", "content", root, chunking.SMALL)
+        digest = hashlib.sha256(data).hexdigest()
+        return next(n for n in os.listdir(f"{root}/recipes/sha256") if json.load(open(f"{root}/recipes/sha256/{n}"))["layer"] == digest)
+
+    big = random.Random(5).randbytes(30_000)
+    low = json.load(open(f"{root}/manifests/org/app/_v2/manifest.json"))["layers"][0]["digest"].removeprefix("sha256:")
+    high = held(tar(**{"etc__os": b"new", "big": big, "usr__.wh.os": b""}))
+    b = Bucket(spark, root)
+    assert b.cat([low], "usr/os") == b"file"
+    assert b.cat([low, high], "etc/os") == b"new" and b.cat([low, high], "big") == big
+    with pytest.raises(FileNotFoundError):
+        b.cat([low, high], "usr/os")
+    for lost in ("f" * 64, None):
+        with pytest.raises(ValueError, match="cannot be read"):
+            b.cat([low, lost], "etc/os")
+    first = json.load(open(f"{root}/recipes/sha256/{high}"))["chunks"][0]["digest"]
+    open(f"{root}/chunks/sha256/{first}", "wb").write(b"damaged")
+    with pytest.raises(ValueError, match="cannot be read"):
+        b.cat([low, high], "etc/os")
+
+
 def test_configuration_edits():
     c = settings.changed({}, "lifecycle.keep_last", "3", "a/*")
     c = settings.changed(c, "lifecycle.keep_tags", "x, y", "a/*")
