@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import digests, names, values
-from lamella.session import splittable
+from lamella.session import splittable, written
+
+#: Rounds after which nesting is taken for an error.
+MAX_DEPTH = 64
 
 
 def plain_manifests(manifest: DataFrame) -> DataFrame:
@@ -101,20 +104,42 @@ def references(manifests: DataFrame) -> DataFrame:
     return manifests.select("manifest_id", F.explode(every).alias("e")).select("manifest_id", "e.*").where(F.col("child").isNotNull())
 
 
+def attested(platform: Column) -> Column:
+    """Is an index entry of this platform an attestation? One without a platform is none."""
+    return platform.isNotNull() & F.coalesce(platform["os"], F.lit("")).isin("", "unknown")
+
+
+def tag_manifests(tags: DataFrame, manifests: DataFrame, attestations: bool = True) -> DataFrame:
+    """(image, tag, manifest_id): every tag's manifest and, level by level, those below.
+
+    Each manifest counts once for a tag however often it is listed, so shared ones are
+    walked once and a cycle ends. ``attestations``: also walk such entries of an index.
+    """
+    listed = manifests.select("manifest_id", F.explode("manifests").alias("x")).where("x.digest is not null")
+    if not attestations:
+        listed = listed.where(~attested(F.col("x.platform")))
+    by_digest = splittable(newest_manifests(manifests.select("digest", "manifest_id", "stored_at")).select("digest", F.col("manifest_id").alias("child_id")))
+    links = written(listed.select("manifest_id", F.col("x.digest").alias("digest")).distinct().join(by_digest, "digest").select("manifest_id", "child_id").distinct(), "links")
+    front = written(tags.select("image", "tag", "manifest_id"), "front")
+    walked, below = front, None
+    for _ in range(MAX_DEPTH):
+        found = front.join(links, "manifest_id").select("image", "tag", F.col("child_id").alias("manifest_id")).distinct()
+        front = written(found if below is None else found.join(below, ["image", "tag", "manifest_id"], "left_anti"), "front")
+        if front.isEmpty():
+            return walked
+        walked, below = walked.unionByName(front), front if below is None else below.unionByName(front)
+    raise RuntimeError(f"manifests nest deeper than {MAX_DEPTH}")
+
+
 def tag_references(manifest: DataFrame) -> DataFrame:
-    """(image, tag, kind, child, size_bytes): what each tag refers to, one index level down.
+    """(image, tag, kind, child, size_bytes): what each tag refers to, through indexes of any depth.
 
-    Every distinct child manifest counts once for a tag; its configs and layers count
-    at each occurrence. Indexes inside indexes are followed by ``reach.reachable``.
+    Every distinct child manifest counts once for a tag; its configs, layers and
+    manifests count at each occurrence.
     """
     manifests = plain_manifests(manifest)
-    tags = current_tags(manifest).select("image", "tag", "manifest_id")
-    edges = references(manifests)
-    own = tags.join(edges, "manifest_id").drop("manifest_id")
-    children = own.where("kind = 'manifest'").select("image", "tag", "child").distinct()
-    by_digest = splittable(newest_manifests(manifests).select(F.col("digest").alias("child"), "manifest_id"))
-    below = children.join(by_digest, "child").drop("child").join(edges.where("kind <> 'manifest'"), "manifest_id").drop("manifest_id")
-    return own.unionByName(below)
+    walked = tag_manifests(current_tags(manifest), manifests)
+    return walked.join(references(manifests), "manifest_id").drop("manifest_id")
 
 
 def tag_sizes(manifest: DataFrame) -> DataFrame:
@@ -143,18 +168,13 @@ def by_storage_class(object_listing: DataFrame) -> DataFrame:
 def layer_sharing(manifest: DataFrame, prefix: str = "") -> DataFrame:
     """(digest, size_bytes, n_tags, logical_bytes, first_tag, last_tag) of every layer.
 
-    A layer counts once for a tag; attestations of an index are skipped; of differing
+    A layer counts once for a tag, at any depth; attestations of an index are skipped; of differing
     sizes the one of the first tag by name holds, within a tag the greatest.
     """
     manifests = plain_manifests(manifest)
-    tags = current_tags(manifest).where(F.col("image").startswith(prefix)).select(F.concat_ws(":", "image", "tag").alias("name"), "manifest_id")
-    edges = references(manifests)
-    attested = F.col("has_platform") & F.coalesce(F.col("platform_os"), F.lit("")).isin("", "unknown")
-    runnable = edges.where((F.col("kind") == "manifest") & ~attested).select("manifest_id", "child").distinct()
-    by_digest = splittable(newest_manifests(manifests).select(F.col("digest").alias("child"), F.col("manifest_id").alias("child_id")))
-    below = tags.join(runnable, "manifest_id").join(by_digest, "child").select("name", F.col("child_id").alias("manifest_id"))
-    layers = edges.where("kind = 'layer'").select("manifest_id", F.col("child").alias("digest"), "size_bytes")
-    per_tag = tags.unionByName(below).join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
+    walked = tag_manifests(current_tags(manifest).where(F.col("image").startswith(prefix)), manifests, attestations=False)
+    layers = layer_rows(manifests).where("digest is not null").select("manifest_id", "digest", "size_bytes")
+    per_tag = walked.select(F.concat_ws(":", "image", "tag").alias("name"), "manifest_id").join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
     shared = per_tag.groupBy("digest").agg(F.min_by("size_bytes", "name").alias("size_bytes"), F.count(F.lit(1)).alias("n_tags"), F.min("name").alias("first_tag"), F.max("name").alias("last_tag"))
     return shared.withColumn("logical_bytes", F.col("size_bytes") * F.col("n_tags"))
 

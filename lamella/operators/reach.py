@@ -15,9 +15,6 @@ from lamella.functions import digests
 from lamella.operators import catalog
 from lamella.session import splittable, written
 
-#: Rounds after which nesting is taken for an error.
-MAX_DEPTH = 64
-
 
 def chunk_edges(recipe: DataFrame) -> DataFrame:
     """(layer, child): well-formed chunks of each recipe."""
@@ -32,14 +29,14 @@ def reachable(manifest: DataFrame, recipe: DataFrame, tags: DataFrame | None = N
     by_digest = splittable(catalog.newest_manifests(manifests.select("digest", "manifest_id", "stored_at")).select(F.col("digest").alias("child"), "manifest_id"))
     front = written((tags if tags is not None else catalog.current_tags(manifest)).select("manifest_id").distinct(), "front")
     seen = front
-    for _ in range(MAX_DEPTH):
+    for _ in range(catalog.MAX_DEPTH):
         found = front.join(edges.where("kind = 'manifest'"), "manifest_id").select("child").distinct().join(by_digest, "child").select("manifest_id").distinct()
         front = written(found.join(seen, "manifest_id", "left_anti"), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     else:
-        raise RuntimeError(f"manifests nest deeper than {MAX_DEPTH}")
+        raise RuntimeError(f"manifests nest deeper than {catalog.MAX_DEPTH}")
     own = seen.join(manifests.select("manifest_id", "digest"), "manifest_id").where("digest is not null").select(F.lit("manifest").alias("kind"), "digest")
     direct = seen.join(edges, "manifest_id").select("kind", F.col("child").alias("digest"))
     chunks = direct.where("kind = 'layer'").select(F.col("digest").alias("layer")).distinct().join(chunk_edges(recipe), "layer").select(F.lit("chunk").alias("kind"), F.col("child").alias("digest"))

@@ -70,6 +70,19 @@ def test_doctor_both_ways(spark):
     assert [tuple(r) for r in reach.missing(m, less).collect()] == [("app", "latest", 1, H["1"])]
 
 
+def test_indexes_inside_indexes_are_followed(spark):
+    rows = [("harbor/a", "t", "0", None, [], [("1", LINUX), ("2", LINUX)]), (None, None, "1", None, [], [("2", LINUX), ("1", LINUX), ("8", ("unknown", "unknown", None))])]
+    rows += [(None, None, "2", None, [], [("3", LINUX), ("3", LINUX)]), (None, None, "3", ("4", 90), [("5", 60), ("5", 60)], []), (None, None, "8", None, [("9", 7)], [])]
+    m = manifest(spark, rows)
+    o = listing(spark, [("blobs", c) for c in "01234589a"])
+    assert [r["digest"][0] for r in reach.orphans(m, o).collect()] == ["a"]
+    less = listing(spark, [("blobs", c) for c in "0123489"])
+    assert [tuple(r) for r in reach.missing(m, less).collect()] == [("harbor/a", "t", 1, H["5"])]
+    assert sorted(r["digest"][0] for r in reach.copy_plan(m, "harbor/", "ledger/").collect()) == list("1234589")
+    assert catalog.tag_sizes(m).first()["logical_bytes"] == 90 + 60 + 60 + 7
+    assert [(r["digest"][0], r["n_tags"], r["logical_bytes"]) for r in catalog.layer_sharing(m).collect()] == [("5", 1, 60)]
+
+
 def test_malformed_manifests_do_not_crash(spark):
     m = spark.createDataFrame([(1, "i", "t", "", None, None, None, None, None, None), (2, "i", "u", "x:y", 2, "", (None, "", None), [None, (None, "nope", 3)], [None], T)], MANIFEST)
     assert catalog.tag_sizes(m).agg(F.sum("logical_bytes")).first()[0] == 0
