@@ -6,7 +6,7 @@
    their windows are shared by nobody, and anchors say which shard a window belongs to.
    Hash collisions cost work, never rows.
 3. Regions (runs of windows with one anchor) with equal text are one; those of two
-   texts or more are shared throughout.
+   documents or more are shared throughout.
 4. The regions left are spread over shards; each shard is a compressed FM-index, and
    its texts are streamed through it by backward search, which reports the windows
    that stand there under two owners.
@@ -125,8 +125,8 @@ def _pieces(docs: list[int], texts: list[str], length: int) -> Iterator[tuple[li
         yield ids, offsets, parts
 
 
-_RUNS = pa.schema([("anchor", pa.int64()), ("rep", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
-_REGIONS = pa.schema([("anchor", pa.int64()), ("rep", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("region", pa.string())])
+_RUNS = pa.schema([("anchor", pa.int64()), ("text_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+_REGIONS = pa.schema([("anchor", pa.int64()), ("text_id", pa.int64()), ("rep", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("region", pa.string())])
 
 
 def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -136,19 +136,19 @@ def _runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 which, start, windows, anchor = anchor_runs(parts, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.array(ids, np.int64)[which]), pa.array(np.array(offsets, np.int64)[which] + start), pa.array(windows)], schema=_RUNS)
 
-    return texts.select("rep", "text").mapInArrow(run, "anchor bigint, rep bigint, start bigint, windows bigint")
+    return texts.select("text_id", "text").mapInArrow(run, "anchor bigint, text_id bigint, start bigint, windows bigint")
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text_id, rep, last, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for at in range(0, len(runs), 20_000):
                     some = runs[at : at + 20_000]
-                    columns = [[r["anchor"] for r in some], [rep] * len(some), [r["start"] for r in some], [r["windows"] for r in some], [text[r["start"] : r["start"] + r["windows"] + length - 1] for r in some]]
+                    columns = [[r["anchor"] for r in some], [text_id] * len(some), [rep] * len(some), [last] * len(some), [r["start"] for r in some], [r["windows"] for r in some], [text[r["start"] : r["start"] + r["windows"] + length - 1] for r in some]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REGIONS, strict=True)], schema=_REGIONS)
 
-    return rows.select("rep", "text", "runs").mapInArrow(run, "anchor bigint, rep bigint, start bigint, windows bigint, region string")
+    return rows.select("text_id", "rep", "last", "text", "runs").mapInArrow(run, "anchor bigint, text_id bigint, rep bigint, last bigint, start bigint, windows bigint, region string")
 
 
 def _hot_anchors(regions: DataFrame, shard: int) -> DataFrame | None:
@@ -216,18 +216,20 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int | None =
     """(doc_id, span_start, span_end) of all maximal runs of shared characters."""
     gram = gram or max(1, length * GRAM // LENGTH)
     docs = documents.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    reps = written(docs.groupBy("text").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "texts")
+    # a doc_id may have several texts, so a text needs an id of its own; written once, it stays
+    reps = written(docs.groupBy("text").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).withColumn("text_id", F.monotonically_increasing_id()), "texts")
     copied = reps.where("rep < last").select(F.unhex(F.sha2("text", 256)).alias("sha"))
     copies = docs.select("doc_id", F.length("text").cast("bigint").alias("span_end"), F.unhex(F.sha2("text", 256)).alias("sha")).join(copied, "sha", "left_semi")
     whole = copies.select("doc_id", F.lit(0).cast("bigint").alias("span_start"), "span_end")
 
     runs = written(_runs(reps, length, gram), "anchor-runs")
-    several = runs.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("anchor")
-    per_text = runs.join(splittable(several), "anchor").groupBy("rep").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
-    regions = _cut(per_text.join(reps.select("rep", "text"), "rep"), length)
+    owners = reps.select("text_id", "rep", "last")
+    several = runs.join(splittable(owners), "text_id").groupBy("anchor").agg(F.min("text_id").alias("one"), F.max("text_id").alias("other"), F.min("rep").alias("lo"), F.max("last").alias("hi")).where("one < other and lo < hi").select("anchor")
+    per_text = runs.join(splittable(several), "anchor").groupBy("text_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
+    regions = _cut(per_text.join(reps, "text_id"), length)
     regions = written(regions.withColumn("digest", F.unhex(F.md5("region"))), "regions")
 
-    classes = regions.groupBy("anchor", "digest", "region", "windows").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    classes = regions.groupBy("anchor", "digest", "region", "windows").agg(F.min("rep").alias("rep"), F.max("last").alias("last"))
     classes = written(classes, "region-classes")
     every = classes.where("rep < last").select("anchor", "digest", F.lit(0).cast("bigint").alias("first"), (F.col("windows") - 1).alias("last"))
     crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("anchor")
@@ -238,9 +240,9 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int | None =
         windows = windows.unionByName(_by_window(apart.join(hot, "anchor", "left_semi"), length))
         apart = apart.join(hot, "anchor", "left_anti")
     windows = windows.unionByName(_search(_sharded(apart, shard), length))
-    placed = regions.select("anchor", "digest", "rep", "start").join(windows, ["anchor", "digest"])
-    single = reps.where("rep = last").select("rep")
-    parts = placed.join(single, "rep", "left_semi").select(F.col("rep").alias("doc_id"), (F.col("start") + F.col("first")).alias("span_start"), (F.col("start") + F.col("last") + length).alias("span_end"))
+    # a text of several documents is shared throughout already
+    placed = regions.where("rep = last").select("anchor", "digest", "rep", "start").join(windows.withColumnRenamed("last", "upto"), ["anchor", "digest"])
+    parts = placed.select(F.col("rep").alias("doc_id"), (F.col("start") + F.col("first")).alias("span_start"), (F.col("start") + F.col("upto") + length).alias("span_end"))
     return merged(parts.unionByName(whole))
 
 

@@ -71,6 +71,14 @@ def test_hot_passage_is_resolved_by_windows(spark, monkeypatch):
     assert found(spark, docs, length=24) == expected and len(calls) == 1
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    p = "abcdefghijklmnop"
+    docs = [(1, p), (2, p), (1, "x" + p), (1, "0123456789ABCDEF"), (3, "yy" + p[:12]), (3, "0123456789ABCDEF")]
+    for shard in (10**6, 20):
+        assert found(spark, docs[:3], length=10, shard=shard) == {(1, 0, 17), (2, 0, 16)}
+        assert found(spark, docs, length=10, shard=shard) == {(1, 0, 17), (2, 0, 16), (3, 0, 16)}
+
+
 def test_repeats_within_one_document_do_not_count(spark):
     p = "abcdefghijklmnop"
     assert found(spark, [(1, p + "1" + p), (2, "zz")], length=10) == set()
