@@ -22,6 +22,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.manifest_entries(table(spark, d, "manifest_raw")).drop("kind")
 
 
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of every raw manifest, linked to its parent; nothing is pruned."""
+    return shred.shred(table(spark, d, "manifest_raw"), "record_id", "body")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every reference of manifests and recipes that no usable object meets."""
     return orphans.orphan_references(table(spark, d, "manifest"), table(spark, d, "recipe"), table(spark, d, "object_listing"))
@@ -81,7 +86,7 @@ SELECT record_id, entry_path, parent_path, coalesce(json_extract_string(node, '$
  coalesce(json_extract_string(node, '$.annotations."org.opencontainers.image.revision"'), '') AS revision
 FROM entry WHERE depth > 0"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_nodes": p2_nodes, "p4_found": p4_found, "p4_report": p4_report}
 SQL = {
     "p1_found": _P1,
     "p2_found": _P2,

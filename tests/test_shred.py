@@ -2,7 +2,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from lamella.operators import shred
+from lamella.plans import general
+from lamella.plans.tables import table
 
 SCHEMA = "record_id bigint, body string"
 
@@ -71,3 +74,14 @@ def test_adjacency_links_surrogates_and_repeats(spark):
     assert "�" in by_path["s"]["scalar"]
     one = shred.manifest_entries(spark.createDataFrame([(1, '{"config":{}}')] * 2, SCHEMA))
     assert one.count() == 1
+
+
+def test_whole_records_are_shredded(spark):
+    def size(value):
+        below = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        return 1 + sum(size(x) for x in below)
+
+    bodies = [shred.parse_object(r["body"]) for r in table(spark, DATA, "manifest_raw").collect()]
+    nodes = general.QUERIES["p2_nodes"](spark, DATA)
+    assert nodes.count() == sum(size(b) for b in bodies if b is not None)
+    assert nodes.where("parent >= node").count() == 0 and nodes.where("parent = -1").count() == sum(b is not None for b in bodies)
