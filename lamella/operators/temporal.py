@@ -1,14 +1,16 @@
-"""History of changing attributes: insert-only satellites and lead-based validity.
+"""History of changing attributes: insert-only satellites and a lead-based view over them.
 
-``staged`` picks the row that counts for each (key, time); ``satellite_changes``
-marks, per satellite (a group of attributes that change together), the rows whose
-hash-diff differs from the row before; ``satellite`` is the insert-only table of one
-group; ``versions`` is the view whose end dates are the next change.
+``staged`` picks the row that counts for each (key, time). ``load`` appends it to one
+table for each satellite (a group of attributes that change together): a row is
+appended where the group's hash-diff differs from the row before it. ``view`` reads the
+stored satellites: at each time at which any of them changes, every attribute has its
+last stored value, and a version ends where the next one begins (``lead``).
 
-Scale. One shuffle with map-side combine for ``staged``, one on the key for the
-changes; the view reuses that partitioning and order. A key with more than
-``hot_rows`` rows is cut into days, so no task ever sorts one key whole: inside a
-day plain lag/lead, between days the edges (one row per key and day) are carried.
+Scale. Staging and change detection share one shuffle on the key, the view has another,
+of changed rows only. A key with more than ``hot_rows`` rows is staged with map-side
+combine and cut into slices of about ``SLICE_ROWS`` rows by range of time, so no task
+ever sorts one key whole: inside a slice plain windows, between slices the edges (one
+row for each key and slice) are carried.
 
 Defined cases. A null in a key column or in the time drops the row (it names no
 state); null attributes are values: two nulls are equal, a null and a value differ.
@@ -25,27 +27,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import digests
+from lamella.session import written
 
-#: Keys above this many rows are cut into days.
+#: Keys above this many rows are cut into slices.
 HOT_ROWS = 1_000_000
+#: Rows aimed at for one slice of such a key.
+SLICE_ROWS = 500_000
+#: Hash buckets in which keys are counted before any key is counted by itself.
+BUCKETS = 1 << 16
 #: A list of hot keys longer than this is joined by shuffle instead of broadcast.
 MAX_BROADCAST_KEYS = 100_000
 
 
-def staged(rows: DataFrame, key: Sequence[str], at: str, latest: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """One row for each (key, at): ``values`` of the row greatest by ``latest``."""
-    kept = rows.where(F.col(at).isNotNull())
-    for k in key:
-        kept = kept.where(F.col(k).isNotNull())
-    slim = kept.select(
+def _slim(rows: DataFrame, key: Sequence[str], at: str, latest: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    return rows.dropna(subset=[*key, at]).select(
         *[F.col(k) for k in key],
         F.col(at).alias("at"),
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(latest)]).alias("order"),
         F.struct(*[v.alias(n) for n, v in values.items()]).alias("value"),
     )
+
+
+def _counted(slim: DataFrame, key: Sequence[str]) -> DataFrame:
     return slim.groupBy(*key, "at").agg(F.max_by("value", "order").alias("value")).select(*key, "at", "value.*")
 
 
+def staged(rows: DataFrame, key: Sequence[str], at: str, latest: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """One row for each (key, at): ``values`` of the row greatest by ``latest``."""
+    return _counted(_slim(rows, key, at, latest, values), key)
+
+
 def hash_diff(rows: DataFrame, attributes: Sequence[str]) -> Column:
     """16 bytes over the attributes; each is tagged, so a null differs from every value."""
     binary = {f.name for f in rows.schema if f.dataType.typeName() == "binary"}
@@ -56,8 +67,19 @@ def hash_diff(rows: DataFrame, attributes: Sequence[str]) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def _hot_keys(rows: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame | None:
-    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*key)
+def hot_keys(rows: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys of more than ``hot_rows`` rows, or None.
+
+    Hash buckets are counted first, which shuffles a row for each bucket and task; keys
+    are counted one by one only in buckets that exceed the number.
+    """
+    keyed = rows.select(*key, F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).alias("bucket"))
+    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("bucket")
+    buckets = full.collect()
+    if not buckets:
+        return None
+    full = F.broadcast(rows.sparkSession.createDataFrame(buckets, full.schema))
+    hot = keyed.join(full, "bucket", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*key)
     found = hot.limit(MAX_BROADCAST_KEYS + 1).collect()
     if not found:
         return None
@@ -66,96 +88,119 @@ def _hot_keys(rows: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame |
     return F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
 
 
-def satellite_changes(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]]) -> DataFrame:
-    """Rows of ``stage`` at which any satellite changes.
+def _sliced(rows: DataFrame, key: Sequence[str], at: str, slice_rows: int) -> DataFrame:
+    """Adds ``slice``: each is a range of (key, time), in order; written, so it stays."""
+    kept = written(rows, "hot-rows")
+    slices = max(1, -(-kept.count() // slice_rows))
+    return written(kept.repartitionByRange(slices, *key, at).withColumn("slice", F.spark_partition_id()), "slices")
 
-    Adds, for each satellite S, ``S_hash`` and ``S_changed``. The rows with
-    ``S_changed`` are exactly what an insert-only load of S appends.
-    """
-    w = Window.partitionBy(*key).orderBy("at")
-    by_key = stage.repartition(*key)  # hashes are made behind this shuffle, not sent through it
-    hashed = by_key.select("*", *[hash_diff(by_key, a).alias(f"{s}_hash") for s, a in satellites.items()])
-    return _flag(hashed, {s: F.lag(f"{s}_hash").over(w) for s in satellites})
 
+def _context(rows: DataFrame, key: Sequence[str], at: str, names: Sequence[str], upto: int) -> DataFrame:
+    """Adds ``<name>_seen``, the last value that is not null up to ``upto`` rows from here
+    (0: this row, -1: the row before), and ``next``, the time of the row after.
 
-def _flag(hashed: DataFrame, before: dict[str, Column]) -> DataFrame:
-    marked = hashed.select("*", *[(~F.col(f"{s}_hash").eqNullSafe(b)).alias(f"{s}_changed") for s, b in before.items()])
+    A column ``slice``, if there, cuts keys; values and times are carried across.
+    """
+    hot = "slice" in rows.columns
+    w = Window.partitionBy(*key, *(["slice"] if hot else [])).orderBy(at)
+    seen = {f"{n}_seen": F.last(n, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, upto)) for n in names}
+    own = rows.select("*", *[c.alias(n) for n, c in seen.items()], F.lead(at).over(w).alias("next"))
+    if not hot:
+        return own
+    by_key = Window.partitionBy(*key).orderBy("slice")
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key, "slice").agg(F.min(at).alias("head"), *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(at))).alias(n) for n in names])
+    edges = ends.select(*key, "slice", F.lead("head").over(by_key).alias("follow"), *[F.last(n, ignorenulls=True).over(earlier).alias(f"{n}_carried") for n in names])
+    joined = own.join(edges, [*key, "slice"])
+    filled = joined.withColumns({f"{n}_seen": F.coalesce(f"{n}_seen", f"{n}_carried") for n in names} | {"next": F.coalesce("next", "follow")})
+    return filled.drop("slice", "follow", *[f"{n}_carried" for n in names])
+
+
+def _changes(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]], stored: dict[str, DataFrame] | None) -> DataFrame:
+    """Rows of ``stage`` at which any satellite changes, with ``S_hash`` and ``S_changed``."""
+    hashed = stage.select("*", *[hash_diff(stage, a).alias(f"{s}_hash") for s, a in satellites.items()])
+    known = _context(hashed, key, "at", [f"{s}_hash" for s in satellites], -1)
+    for s, table in (stored or {}).items():
+        newest = table.join(stage.select(*key).distinct(), list(key), "left_semi").groupBy(*key).agg(F.max_by("hash_diff", "valid_from").alias(f"{s}_stored"))
+        known = known.join(newest, list(key), "left").withColumn(f"{s}_hash_seen", F.coalesce(f"{s}_hash_seen", f"{s}_stored"))
+    marked = known.withColumns({f"{s}_changed": ~F.col(f"{s}_hash").eqNullSafe(F.col(f"{s}_hash_seen")) for s in satellites})
     anyone = F.lit(False)
-    for s in before:
+    for s in satellites:
         anyone = anyone | F.col(f"{s}_changed")
     return marked.where(anyone)
 
 
-def satellite(changes: DataFrame, key: Sequence[str], name: str, attributes: Sequence[str]) -> DataFrame:
-    """The insert-only table of one satellite: key, valid_from, hash_diff, attributes."""
-    return changes.where(F.col(f"{name}_changed")).select(*key, F.col("at").alias("valid_from"), F.col(f"{name}_hash").alias("hash_diff"), *attributes)
+def load(
+    rows: DataFrame, key: Sequence[str], at: str, latest: Sequence[str], values: dict[str, Column], satellites: dict[str, Sequence[str]],
+    stored: dict[str, DataFrame] | None = None, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS,
+) -> dict[str, DataFrame]:
+    """Tables of the rows that an insert-only load of ``rows`` appends to each satellite.
 
+    A table has key, valid_from, hash_diff and the satellite's attributes. ``stored``:
+    what earlier loads appended; a first row of a key is then compared with the newest
+    stored one. Exact for batches later than what is stored for their keys; older
+    arrivals need a new load of the whole history, as rows never appended (no change
+    then) cannot be recalled.
 
-def satellite_append(existing: DataFrame, stage: DataFrame, key: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """Rows an insert-only load adds to ``existing`` for a later batch.
+    All satellites come from one pass and are written as folders of one table.
+    """
+    hot = hot_keys(rows.dropna(subset=list(key)), key, hot_rows)
 
-    A batch row is appended when its hash-diff differs from the row before it, the
-    newest stored row of its key standing before the batch. Exact for batches later
-    than what is stored for their keys; older arrivals need a rebuild from history,
-    as rows never appended (no change then) cannot be recalled.
-    """
-    newest = existing.groupBy(*key).agg(F.max("valid_from").alias("valid_from"), F.max_by("hash_diff", "valid_from").alias("hash_diff"))
-    batch = stage.select(*key, F.col("at").alias("valid_from"), hash_diff(stage, attributes).alias("hash_diff"), *attributes, F.lit(True).alias("is_new"))
-    both = newest.join(batch.select(*key).distinct(), list(key), "left_semi").withColumn("is_new", F.lit(False)).unionByName(batch, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("valid_from", "is_new")
-    changed = ~F.col("hash_diff").eqNullSafe(F.col("before"))
-    return both.withColumn("before", F.lag("hash_diff").over(w)).where(F.col("is_new") & changed).select(*existing.columns)
-
-
-def _hot_changes(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]]) -> DataFrame:
-    """As ``satellite_changes`` plus ``until``, by days with edges carried between them."""
-    names = [f"{s}_hash" for s in satellites]
-    by_day, by_key = Window.partitionBy(*key, "day").orderBy("at"), Window.partitionBy(*key).orderBy("day")
-    days = stage.withColumn("day", F.date_trunc("day", "at")).repartition(*key, "day")
-    hashed = days.select("*", *[hash_diff(days, a).alias(f"{s}_hash") for s, a in satellites.items()])
-    last = hashed.groupBy(*key, "day").agg(F.max_by(F.struct(*names), "at").alias("last"))
-    carried = last.select(*key, "day", F.lag("last").over(by_key).alias("carried"))
-    joined = hashed.join(carried, [*key, "day"])
-    first = F.row_number().over(by_day) == 1
-    before = {s: F.when(F.col("first"), F.col(f"carried.{s}_hash")).otherwise(F.col(f"{s}_before")) for s in satellites}
-    seen = joined.select("*", first.alias("first"), *[F.lag(f"{s}_hash").over(by_day).alias(f"{s}_before") for s in satellites])
-    flagged = _flag(seen, before).drop("carried", "first", *[f"{s}_before" for s in satellites])
-    heads = flagged.groupBy(*key, "day").agg(F.min("at").alias("head"))
-    follow = heads.select(*key, "day", F.lead("head").over(by_key).alias("follow"))
-    ended = flagged.select("*", F.lead("at").over(by_day).alias("next"))
-    return ended.join(follow, [*key, "day"]).withColumn("until", F.coalesce("next", "follow")).drop("next", "follow", "day")
-
-
-def versions(stage: DataFrame, key: Sequence[str], satellites: dict[str, Sequence[str]], removed: str | None = None, hot_rows: int = HOT_ROWS, rows: DataFrame | None = None) -> DataFrame:
-    """Versions with ``valid_from`` and ``valid_to`` (null while one holds).
-
-    ``rows``: what ``stage`` was made of, if given; counting hot keys there reads the key
-    columns only and does not stage twice. A key has no more staged rows than rows.
-
-    ``removed`` names a boolean column; such a row ends the version before it and
-    begins none. It must be among the attributes of a satellite.
-    """
+    def by_key(some: DataFrame) -> DataFrame:
+        # one shuffle on the key serves staging and the windows behind it
+        return _changes(_counted(_slim(some, key, at, latest, values).repartition(*key), key), key, satellites, stored)
+
+    if hot is None:
+        found = by_key(rows)
+    else:
+        crowded = _sliced(staged(rows.join(hot, list(key), "left_semi"), key, at, latest, values), key, "at", slice_rows)
+        found = by_key(rows.join(hot, list(key), "left_anti")).unionByName(_changes(crowded, key, satellites, stored))
+    types = {f.name: f.dataType for f in found.schema}
+
+    def row(s: str) -> Column:
+        held = {a: F.col(a) if a in satellites[s] else F.lit(None).cast(types[a]) for attrs in satellites.values() for a in attrs}
+        return F.when(F.col(f"{s}_changed"), F.struct(F.lit(s).alias("satellite"), F.col(f"{s}_hash").alias("hash_diff"), *[c.alias(a) for a, c in held.items()]))
 
-    def plain_path(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*key).orderBy("at")
-        return satellite_changes(rows, key, satellites).select("*", F.lead("at").over(w).alias("until"))
+    appended = found.select(*key, F.col("at").alias("valid_from"), F.explode(F.array_compact(F.array(*[row(s) for s in satellites]))).alias("r")).select(*key, "valid_from", "r.*")
+    tables = written(appended, "satellites", ["satellite"])
+    return {s: tables.where(F.col("satellite") == s).select(*key, "valid_from", "hash_diff", *a) for s, a in satellites.items()}
 
-    hot = _hot_keys(stage if rows is None else rows.dropna(subset=list(key)), key, hot_rows)
+
+def view(tables: dict[str, DataFrame], key: Sequence[str], satellites: dict[str, Sequence[str]], removed: str | None = None, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Versions with ``valid_from`` and ``valid_to`` (null while one holds), from stored satellites.
+
+    ``removed`` names a boolean attribute; such a state ends the version before it and
+    is none itself.
+    """
+    parts = []
+    for s in satellites:
+        groups = {n: F.struct(*satellites[n]) if n == s else F.lit(None).cast(tables[n].select(F.struct(*satellites[n]).alias("g")).schema["g"].dataType) for n in satellites}
+        parts.append(tables[s].select(*key, "valid_from", *[g.alias(f"{n}_state") for n, g in groups.items()]))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    names = [f"{s}_state" for s in satellites]
+    hot = hot_keys(rows, key, hot_rows)
     if hot is None:
-        ended = plain_path(stage)
+        filled = _context(rows, key, "valid_from", names, 0)
     else:
-        ended = plain_path(stage.join(hot, list(key), "left_anti")).unionByName(_hot_changes(stage.join(hot, list(key), "left_semi"), key, satellites))
+        crowded = _sliced(rows.join(hot, list(key), "left_semi"), key, "valid_from", slice_rows)
+        filled = _context(rows.join(hot, list(key), "left_anti"), key, "valid_from", names, 0).unionByName(_context(crowded, key, "valid_from", names, 0))
+    # satellites that change at one time are rows in a row; the last of them has seen all
+    states = filled.where(F.col("next").isNull() | (F.col("next") > F.col("valid_from")))
     if removed:
-        ended = ended.where(~F.col(removed))
-    attributes = list(dict.fromkeys(a for attrs in satellites.values() for a in attrs if a != removed))
-    return ended.select(*key, *attributes, F.col("at").alias("valid_from"), F.col("until").alias("valid_to"))
+        holder = next(s for s, a in satellites.items() if removed in a)
+        states = states.where(~F.col(f"{holder}_state_seen.{removed}"))
+    attributes = [F.col(f"{s}_state_seen.{a}").alias(a) for s, attrs in satellites.items() for a in attrs if a != removed]
+    return states.select(*key, *attributes, "valid_from", F.col("next").alias("valid_to"))
 
 
 # -- bindings to the store's history ------------------------------------------------
 
 HISTORY_KEY = ("image", "tag")
 #: Digest changes with every push, the size only with amended entries.
-HISTORY_SATELLITES = {"content": ("removed", "digest", "other"), "extent": ("size_bytes",)}
+HISTORY_SATELLITES = {"content": ("removed", "digest"), "extent": ("size_bytes",)}
+_LATEST = ("snapshot_at", "history_id")
 
 
 def counted_pushes(history: DataFrame, values: dict[str, Column] | None = None) -> DataFrame:
@@ -164,20 +209,22 @@ def counted_pushes(history: DataFrame, values: dict[str, Column] | None = None)
     Adds ``removed``: the entry has no digest, so the tag went away.
     """
     values = {"removed": digests.is_blank(F.col("digest"))} | (values or {})
-    return staged(history, HISTORY_KEY, "pushed_at", ("snapshot_at", "history_id"), values)
+    return staged(history, HISTORY_KEY, "pushed_at", _LATEST, values)
 
 
-def history_stage(history: DataFrame) -> DataFrame:
-    """Counted pushes with digest as bytes; a malformed one is kept, trimmed, in ``other``."""
-    gone, plain = digests.is_blank(F.col("digest")), digests.plain_bytes(F.col("digest"))
-    other = F.when(plain.isNull(), F.btrim(F.col("digest"), F.lit(digests.BLANKS)))
-    return counted_pushes(history, {"digest": F.when(~gone, plain), "other": F.when(~gone, other), "size_bytes": F.when(~gone, F.col("size_bytes"))})
+def history_satellites(history: DataFrame, stored: dict[str, DataFrame] | None = None, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS) -> dict[str, DataFrame]:
+    """The satellites ``content`` and ``extent`` of pushes; digests as 32 bytes.
 
+    A digest that is neither blank nor well formed removes nothing, refers to nothing
+    and is null.
+    """
+    gone = digests.is_blank(F.col("digest"))
+    values = {"removed": gone, "digest": digests.plain_bytes(F.col("digest")), "size_bytes": F.when(~gone, F.col("size_bytes"))}
+    return load(history, HISTORY_KEY, "pushed_at", _LATEST, values, HISTORY_SATELLITES, stored, hot_rows, slice_rows)
 
-def push_versions(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Digest and size states of every (image, tag) with their validity.
 
-    A malformed, non-blank digest has no plain form and stands for itself, trimmed.
-    """
-    found = versions(history_stage(history), HISTORY_KEY, HISTORY_SATELLITES, removed="removed", hot_rows=hot_rows, rows=history)
-    return found.withColumn("digest", F.coalesce(digests.hex_text(F.col("digest")), F.col("other"))).drop("other")
+def push_versions(history: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Digest and size states of every (image, tag) with their validity, by way of the satellites."""
+    tables = history_satellites(history, hot_rows=hot_rows, slice_rows=slice_rows)
+    found = view(tables, HISTORY_KEY, HISTORY_SATELLITES, "removed", hot_rows, slice_rows)
+    return found.withColumn("digest", digests.hex_text(F.col("digest")))

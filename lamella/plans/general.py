@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions import digests
 from lamella.operators import orphans, shred, temporal
 from lamella.plans.tables import table
 
@@ -17,6 +18,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return v.select("image", "tag", "digest", F.date_format("valid_from", TIME).alias("valid_from"), F.coalesce(F.date_format("valid_to", TIME), F.lit("")).alias("valid_to"))
 
 
+def p1_satellites(spark: SparkSession, d: str) -> DataFrame:
+    """What the insert-only load appends: a row for each change of a satellite."""
+    tables = temporal.history_satellites(table(spark, d, "history"))
+    rows = tables["content"].select(F.lit("content").alias("satellite"), "image", "tag", "valid_from", "removed", "digest").unionByName(tables["extent"].select(F.lit("extent").alias("satellite"), "image", "tag", "valid_from", "size_bytes"), allowMissingColumns=True)
+    return rows.withColumns({"valid_from": F.date_format("valid_from", TIME), "digest": digests.hex_text(F.col("digest"))})
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of every raw manifest, linked to its parent and record."""
     return shred.manifest_entries(table(spark, d, "manifest_raw")).drop("kind")
@@ -57,6 +65,12 @@ ended AS (SELECT *, lead(pushed_at) OVER (PARTITION BY image, tag ORDER BY pushe
 SELECT image, tag, digest, strftime(pushed_at, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), '') AS valid_to
 FROM ended WHERE NOT removed"""
 
+_SATELLITES = f"""WITH counted AS ({COUNTED}),
+known AS (SELECT image, tag, pushed_at, removed, digest, CASE WHEN NOT removed THEN size_bytes END AS size_bytes FROM counted),
+marked AS (SELECT *, lag(removed) OVER w AS was_removed, lag(digest) OVER w AS was_digest, lag(size_bytes) OVER w AS was_size, row_number() OVER w AS n FROM known WINDOW w AS (PARTITION BY image, tag ORDER BY pushed_at))
+SELECT 'content' AS satellite, image, tag, strftime(pushed_at, '%Y-%m-%d %H:%M:%S') AS valid_from, removed, digest, CAST(NULL AS BIGINT) AS size_bytes FROM marked WHERE n = 1 OR removed <> was_removed OR digest IS DISTINCT FROM was_digest
+UNION ALL SELECT 'extent', image, tag, strftime(pushed_at, '%Y-%m-%d %H:%M:%S'), NULL, NULL, size_bytes FROM marked WHERE n = 1 OR size_bytes IS DISTINCT FROM was_size"""
+
 _P4 = f"""WITH refs AS (
  SELECT DISTINCT 'manifest' AS ref_table, manifest_id AS ref_id, {plain_sql('d')} AS digest, stored_at
  FROM (SELECT manifest_id, stored_at, unnest(list_concat([config.digest], coalesce(list_transform(layers, lambda x: x.digest), []), coalesce(list_transform(manifests, lambda x: x.digest), []))) AS d FROM manifest)
@@ -86,9 +100,10 @@ SELECT record_id, entry_path, parent_path, coalesce(json_extract_string(node, '$
  coalesce(json_extract_string(node, '$.annotations."org.opencontainers.image.revision"'), '') AS revision
 FROM entry WHERE depth > 0"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_nodes": p2_nodes, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p1_satellites": p1_satellites, "p2_found": p2_found, "p2_nodes": p2_nodes, "p4_found": p4_found, "p4_report": p4_report}
 SQL = {
     "p1_found": _P1,
+    "p1_satellites": _SATELLITES,
     "p2_found": _P2,
     "p4_found": _P4 + "SELECT * FROM unmet",
     "p4_report": _P4 + "SELECT ref_table, period, count(*) AS orphans, count(DISTINCT ref_id) AS rows_affected, count(DISTINCT digest) AS digests FROM unmet GROUP BY ALL",

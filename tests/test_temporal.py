@@ -67,9 +67,9 @@ def test_states_removals_nulls_and_repeats(spark):
     assert versions(build(spark, rows)) == sorted([("i", "t", a, 1, t(0), t(2)), ("i", "t", a, None, t(2), t(4)), ("i", "t", a, None, t(6), None)], key=repr)
 
 
-def test_malformed_digest_stands_for_itself(spark):
-    got = versions(build(spark, [(1, "i", "t", t(0), " md5:" + "0" * 32, 1, t(9)), (2, "i", "t", t(1), "c" * 32, 1, t(9))]))
-    assert sorted(r[2] for r in got) == ["c" * 32, "md5:" + "0" * 32]
+def test_malformed_digest_is_no_digest_and_removes_nothing(spark):
+    rows = [(1, "i", "t", t(0), A, 1, t(9)), (2, "i", "t", t(1), " md5:" + "0" * 32, 1, t(9)), (3, "i", "t", t(2), "c" * 32, 1, t(9)), (4, "i", "t", t(3), None, 1, t(9))]
+    assert versions(build(spark, rows)) == [("i", "t", "a" * 64, 1, t(0), t(1)), ("i", "t", None, 1, t(1), t(3))]
 
 
 def test_empty_table(spark):
@@ -90,18 +90,26 @@ def test_random_and_hot_keys_agree_with_brute_force(spark):
     df = build(spark, rows)
     expected = brute(rows)
     assert versions(df) == expected
-    assert versions(df, hot_rows=5) == expected  # by days, with edges carried
+    for slice_rows in (1, 3, 40):  # keys cut into slices, with edges carried
+        assert versions(df, hot_rows=5, slice_rows=slice_rows) == expected
 
 
 def test_satellites_append_only_changes(spark):
     rows = [(1, "i", "t", t(0), A, 1, t(9)), (2, "i", "t", t(1), A, 2, t(9)), (3, "i", "t", t(2), B, 2, t(9))]
-    stage = temporal.history_stage(build(spark, rows))
-    changes = temporal.satellite_changes(stage, ["image", "tag"], temporal.HISTORY_SATELLITES)
-    content = temporal.satellite(changes, ["image", "tag"], "content", ["removed", "digest", "other"])
-    extent = temporal.satellite(changes, ["image", "tag"], "extent", ["size_bytes"])
-    assert sorted(r["valid_from"] for r in content.collect()) == [t(0), t(2)]
-    assert sorted(r["valid_from"] for r in extent.collect()) == [t(0), t(1)]
-    later = temporal.history_stage(build(spark, [(4, "i", "t", t(3), B, 2, t(9)), (5, "i", "t", t(4), B, 3, t(9)), (6, "k", "t", t(4), B, 3, t(9))]))
-    added = temporal.satellite_append(extent, later, ["image", "tag"], ["size_bytes"])
-    assert sorted((r["image"], r["valid_from"], r["size_bytes"]) for r in added.collect()) == [("i", t(4), 3), ("k", t(4), 3)]
-    assert added.columns == extent.columns
+    first = temporal.history_satellites(build(spark, rows))
+    assert sorted(r["valid_from"] for r in first["content"].collect()) == [t(0), t(2)]
+    assert sorted(r["valid_from"] for r in first["extent"].collect()) == [t(0), t(1)]
+    later = [(4, "i", "t", t(3), B, 2, t(9)), (5, "i", "t", t(4), B, 3, t(9)), (6, "k", "t", t(4), B, 3, t(9))]
+    for hot in (10**6, 1):
+        added = temporal.history_satellites(build(spark, later), first, hot_rows=hot)
+        assert sorted((r["image"], r["valid_from"], r["size_bytes"]) for r in added["extent"].collect()) == [("i", t(4), 3), ("k", t(4), 3)]
+        assert [(r["image"], r["valid_from"]) for r in added["content"].collect()] == [("k", t(4))]
+        both = {s: first[s].unionByName(added[s]) for s in first}
+        seen = temporal.view(both, temporal.HISTORY_KEY, temporal.HISTORY_SATELLITES, "removed")
+        assert sorted((r["image"], r["size_bytes"], r["valid_from"], r["valid_to"]) for r in seen.collect()) == [("i", 1, t(0), t(1)), ("i", 2, t(1), t(2)), ("i", 2, t(2), t(4)), ("i", 3, t(4), None), ("k", 3, t(4), None)]
+
+
+def test_hot_keys_are_counted_through_buckets(spark):
+    df = spark.createDataFrame([("a", k) for k in range(9)] + [("b", k) for k in range(3)], "k string, v int")
+    assert temporal.hot_keys(df, ["k"], 9) is None
+    assert [r["k"] for r in temporal.hot_keys(df, ["k"], 8).collect()] == ["a"]
