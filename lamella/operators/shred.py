@@ -1,12 +1,15 @@
 """Shredding nested JSON into an adjacency table, and entity tables pivoted from it.
 
 One row for each node of a document: node, parent, label, ordinal, kind, scalar and
-path. Labels in a path are joined by ``/`` and array places written ``#i``; ``~``,
-``/`` and ``#`` inside a label are written ``~0``, ``~1`` and ``~2``, so a path has
-one meaning only.
+path. Entity tables are made of that table alone: object nodes are joined with their
+scalar children on (record, node = parent), and those of the objects they hold, and
+pivoted. ``path`` only names a node for people: labels are joined by ``/`` and array
+places written ``#i``; ``~``, ``/`` and ``#`` inside a label are written ``~0``, ``~1``
+and ``~2``, so a path has one meaning only.
 
-Scale. Parsing is per record inside the scan's tasks (Arrow batches, no shuffle);
-the pivot is one aggregation by (record, owner), combined on the map side.
+Scale. Parsing is per record inside the scan's tasks (Arrow batches, no shuffle). The
+adjacency table is written once; entity tables read the columns and labels they need
+and shuffle those by (record, node), combined on the map side.
 
 Defined cases. A body that is null, empty, broken, followed by more text or not an
 object has no nodes; numbers keep their spelling; a name given twice keeps its last
@@ -25,6 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.session import written
+
+#: Characters after which nodes are handed on.
+HELD = 8 << 20
 NODE_SCHEMA = "record_id bigint, body_hash bigint, node bigint, parent bigint, label string, ordinal bigint, kind string, scalar string, path string"
 
 
@@ -128,28 +135,17 @@ def _clean(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def nodes_of(value: dict, follow: frozenset[str] | None = None, keep: frozenset[str] | None = None) -> Iterator[tuple]:
-    """(node, parent, label, ordinal, kind, scalar, path) of every node, root first.
-
-    ``follow``: labels whose containers are entered (None: all). ``keep``: labels whose
-    scalars are returned (None: all).
-    """
+def nodes_of(value: dict) -> Iterator[tuple]:
+    """(node, parent, label, ordinal, kind, scalar, path) of every node, root first."""
     yield 0, -1, "", 0, "object", None, ""
     stack: list[tuple[Any, int, str]] = [(value, 0, "")]
     number = 0
     while stack:
         holder, parent, path = stack.pop()
         entered = []
-        items: Iterable[tuple[str, Any]] = holder.items() if isinstance(holder, dict) else (("", x) for x in holder)
         inside = isinstance(holder, dict)
+        items: Iterable[tuple[str, Any]] = holder.items() if inside else (("", x) for x in holder)
         for ordinal, (label, x) in enumerate(items):
-            if isinstance(x, (dict, list)):
-                if inside and follow is not None and label not in follow:
-                    continue
-            elif inside and keep is not None and label not in keep:
-                continue
-            elif not inside and keep is not None:
-                continue
             number += 1
             label = _clean(label) if inside else ""
             below = (f"{path}/{_escape(label)}" if path else _escape(label)) if inside else f"{path}#{ordinal}"
@@ -165,50 +161,70 @@ def nodes_of(value: dict, follow: frozenset[str] | None = None, keep: frozenset[
         stack.extend(reversed(entered))
 
 
-def shred(records: DataFrame, record_id: str, body: str, follow: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+def shred(records: DataFrame, record_id: str, body: str) -> DataFrame:
     """Adjacency table of the documents in ``body``; see the module's head."""
-    names = frozenset(follow) if follow is not None else None
-    kept = frozenset(keep) if keep is not None else None
     schema = pa.schema([(n, pa.string() if n in ("label", "kind", "scalar", "path") else pa.int64()) for n in ("record_id", "body_hash", "node", "parent", "label", "ordinal", "kind", "scalar", "path")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
+            held = 0
             for rid, hashed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 value = parse_object(text)
                 if value is None:
                     continue
-                for node in nodes_of(value, names, kept):
+                for node in nodes_of(value):
                     for column, x in zip(columns, (rid, hashed, *node), strict=True):
                         column.append(x)
-                if len(columns[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-                    columns = [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    # paths of deep documents are long, so characters count as well as rows
+                    held += 64 + len(node[-1])
+                    if held >= HELD:
+                        yield packed(columns)
+                        columns, held = [[] for _ in schema], 0
+            yield packed(columns)
 
     slim = records.where(F.col(body).isNotNull()).select(F.col(record_id).cast("bigint").alias("record_id"), F.xxhash64(body).alias("body_hash"), F.col(body).alias("body"))
     return slim.mapInArrow(run, NODE_SCHEMA)
 
 
-def entities(nodes: DataFrame, is_entity: Column, children: dict[str, str]) -> DataFrame:
-    """Object nodes with scalar children pivoted to columns.
+#: What tells a document, and a node in it.
+RECORD = ("record_id", "body_hash")
+NODE = (*RECORD, "node")
+SCALARS = ("string", "number", "boolean")
+
 
-    ``is_entity`` selects object nodes; ``children`` maps a column to the child's path
-    below the object (escaped as in ``path``). A missing, null or non-scalar child is
-    null. The join of objects with their scalars and the pivot are one aggregation by
-    (record, owner): scalars carry the path of the object they belong to.
+def properties(nodes: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:
+    """(record, node, fields …): scalars below object nodes, pivoted to one row for each node.
+
+    A field is the list of labels that lead from the node to its scalar, through
+    objects only. Scalars name their holder by ``parent``; for longer fields the holder
+    is joined, by its number, to get its own holder, and so on up. Of a name given to
+    several scalars the greatest is kept; nodes without any of the fields have no row.
     """
-    owner, column = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, below in children.items():
-        ends = F.col("path").endswith("/" + below)
-        owner = F.when(ends, F.expr(f"substring(path, 1, length(path) - {len(below) + 1})")).otherwise(owner)
-        column = F.when(ends, F.lit(name)).otherwise(column)
-    scalar = F.col("kind").isin("string", "number", "boolean")
-    slim = nodes.where((scalar & column.isNotNull()) | ((F.col("kind") == "object") & is_entity)).select(
-        "record_id", "body_hash", F.when(scalar, owner).otherwise(F.col("path")).alias("path"), F.when(scalar, column).alias("column"), F.col("scalar"), F.when(~scalar, F.col("node")).alias("node"), F.when(~scalar, F.col("label")).alias("label")
-    )
-    grouped = slim.groupBy("record_id", "body_hash", "path").agg(F.max("node").alias("node"), F.max("label").alias("label"), *[F.max(F.when(F.col("column") == name, F.col("scalar"))).alias(name) for name in children])
-    return grouped.where(F.col("node").isNotNull())
+    ends = {labels[-1] for labels in fields.values()}
+    inner = {label for labels in fields.values() for label in labels[:-1]}
+    found = nodes.where(F.col("kind").isin(*SCALARS) & F.col("label").isin(*ends)).select(*RECORD, F.col("parent").alias("node"), F.concat(F.lit("/"), "label").alias("below"), "scalar")
+    holders = nodes.where((F.col("kind") == "object") & F.col("label").isin(*inner)).select(*NODE, "parent", "label")
+    done = {}
+    for depth in range(1, max(map(len, fields.values())) + 1):
+        if depth > 1:
+            found = holders.join(found, list(NODE)).select(*RECORD, F.col("parent").alias("node"), F.concat(F.lit("/"), "label", "below").alias("below"), "scalar")
+        here = {"".join(f"/{x}" for x in labels): name for name, labels in fields.items() if len(labels) == depth}
+        if here:
+            done[depth] = found.where(F.col("below").isin(*here)).select(*NODE, F.create_map(*[F.lit(x) for pair in here.items() for x in pair])[F.col("below")].alias("field"), "scalar")
+    rows = None
+    for part in done.values():
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy(*NODE).agg(*[F.max(F.when(F.col("field") == name, F.col("scalar"))).alias(name) for name in fields])
+
+
+def entities(nodes: DataFrame, is_entity: Column, fields: dict[str, Sequence[str]]) -> DataFrame:
+    """The object nodes that ``is_entity`` selects, joined with their properties; absent ones are null."""
+    chosen = nodes.where((F.col("kind") == "object") & is_entity).dropDuplicates(list(NODE))
+    return chosen.select(*NODE, "parent", "label", "ordinal", "path").join(properties(nodes, fields), list(NODE), "left")
 
 
 # -- bindings to raw manifests ------------------------------------------------------
@@ -223,12 +239,42 @@ def is_entry(path: Column) -> Column:
     return F.forall(F.split(path, "/"), lambda step: step.rlike(_STEP))
 
 
-def manifest_entries(raw: DataFrame) -> DataFrame:
-    """All entries (index entries, configs, layers) of the documents in ``raw.body``."""
-    nodes = shred(raw, "record_id", "body", follow=(*ENTRY_FIELDS, "platform", "annotations"), keep=("mediaType", "architecture", REVISION))
-    found = entities(nodes, is_entry(F.col("path")), {"media_type": "mediaType", "architecture": "platform/architecture", "revision": f"annotations/{REVISION}"})
+def manifest_nodes(raw: DataFrame) -> DataFrame:
+    """The adjacency table of ``raw.body``, written once."""
+    return written(shred(raw, "record_id", "body"), "nodes")
+
+
+def _entry_path(path: Column) -> Column:
     # a lone object in place of an array is its element 0
-    full = F.regexp_replace(F.regexp_replace("path", r"(manifests|layers)(?=/|$)", "$1#0"), "#", "/")
+    return F.regexp_replace(F.regexp_replace(path, r"(manifests|layers)(?=/|$)", "$1#0"), "#", "/")
+
+
+def manifest_entries(nodes: DataFrame) -> DataFrame:
+    """All entries (index entries, configs, layers): the table of ``nodes`` with its links.
+
+    ``parent`` is the number of the object or array that holds an entry's node.
+    """
+    found = entities(nodes, is_entry(F.col("path")), {"media_type": ["mediaType"], "architecture": ["platform", "architecture"], "revision": ["annotations", REVISION]})
+    full = _entry_path(F.col("path"))
     parent = F.regexp_replace(full, r"/?(?:config|(?:manifests|layers)/\d+)$", "")
     kind = F.regexp_extract("path", r"(config|manifests|layers)(?:#\d+)?$", 1)
-    return found.select("record_id", full.alias("entry_path"), parent.alias("parent_path"), kind.alias("kind"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("media_type", "architecture", "revision")])
+    return found.select(*NODE, "parent", full.alias("entry_path"), parent.alias("parent_path"), kind.alias("kind"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("media_type", "architecture", "revision")])
+
+
+def entry_annotations(nodes: DataFrame) -> DataFrame:
+    """(record_id, body_hash, node, entry_path, name, value): child table of the entries, a row for each annotation.
+
+    The scalars of an object ``annotations`` belong to the entry that holds it.
+    """
+    holders = nodes.where("kind = 'object' and label = 'annotations'").select(*NODE, F.col("parent").alias("entry"))
+    values = nodes.where(F.col("kind").isin(*SCALARS)).select(*RECORD, F.col("parent").alias("node"), F.col("label").alias("name"), F.col("scalar").alias("value"))
+    held = holders.join(values, list(NODE)).select(*RECORD, F.col("entry").alias("node"), "name", "value")
+    owners = nodes.where((F.col("kind") == "object") & is_entry(F.col("path"))).select(*NODE, _entry_path(F.col("path")).alias("entry_path"))
+    return owners.join(held, list(NODE)).select(*NODE, "entry_path", "name", "value").dropDuplicates()
+
+
+def entry_platforms(nodes: DataFrame) -> DataFrame:
+    """(record_id, body_hash, node, entry_path, os, architecture, variant): child table of the entries, a row for each platform object."""
+    owners = nodes.where((F.col("kind") == "object") & is_entry(F.col("path"))).select(*RECORD, F.col("node").alias("parent"), _entry_path(F.col("path")).alias("entry_path"))
+    held = entities(nodes, F.col("label") == "platform", {"os": ["os"], "architecture": ["architecture"], "variant": ["variant"]})
+    return owners.join(held, [*RECORD, "parent"]).select(*RECORD, F.col("parent").alias("node"), "entry_path", "os", "architecture", "variant").dropDuplicates()

