@@ -34,7 +34,7 @@ def brute(docs, length):
 
 def found(spark, docs, **kw):
     df = spark.createDataFrame(docs, SCHEMA)
-    for c in ("rep", "last", "anchor", "region", "shard", "digest"):
+    for c in ("rep", "last", "anchor", "region", "shard", "digest", "t1", "sha", "first", "n_chars"):
         df = df.withColumn(c, F.lit(0))
     rows = [tuple(r) for r in spans.shared_spans(df, **kw).select("doc_id", "span_start", "span_end").collect()]
     assert len(rows) == len(set(rows))
@@ -51,24 +51,42 @@ def corpus(rng, n, alphabet, passages):
     return docs
 
 
-@pytest.mark.parametrize(("length", "gram", "shard"), [(12, None, 10**6), (12, 1, 50), (12, 12, 40), (5, 2, 30), (2, 1, 20), (20, 7, 10**6)])
-def test_random_corpora_agree_with_brute_force(spark, length, gram, shard):
-    rng = random.Random(length * 100 + (gram or 0))
+@pytest.mark.parametrize(("length", "grams", "shard"), [(12, None, 10**6), (12, (1, 4, 12), 50), (12, (12,), 40), (5, (2, 5), 30), (2, (1, 2), 20), (20, (7,), 10**6)])
+def test_random_corpora_agree_with_brute_force(spark, length, grams, shard):
+    rng = random.Random(length * 100 + (grams or [0])[0])
     passages = ["".join(rng.choice("abcdeé漢😀") for _ in range(rng.randrange(5, 45))) for _ in range(6)]
     docs = corpus(rng, 60, "abcé漢😀 ", passages) + [(100, passages[0] * 3), (101, passages[0] * 3), (102, "a" * 50), (103, "a" * 30), (104, None), (105, "")]
-    assert found(spark, docs, length=length, gram=gram, shard=shard) == brute(docs, length)
+    assert found(spark, docs, length=length, grams=grams, shard=shard) == brute(docs, length)
 
 
-def test_hot_passage_is_resolved_by_windows(spark, monkeypatch):
+def test_hot_passage_is_split_by_finer_anchors(spark, monkeypatch):
     rng = random.Random(8)
     hot = "".join(rng.choice("abcdefgh") for _ in range(30))
     docs = [(k, "".join(rng.choice("abcdefgh") for _ in range(20)) + hot + "".join(rng.choice("abcdefgh") for _ in range(20))) for k in range(80)]
     expected = brute(docs, 24)
     calls = []
-    by_window = spans._by_window
-    monkeypatch.setattr(spans, "_by_window", lambda *a: calls.append(1) or by_window(*a))
+    recut = spans._recut
+    monkeypatch.setattr(spans, "_recut", lambda *a: calls.append(1) or recut(*a))
     assert found(spark, docs, length=24, shard=300) == expected and calls
-    assert found(spark, docs, length=24) == expected and len(calls) == 1
+    calls.clear()
+    assert found(spark, docs, length=24) == expected and not calls
+
+
+def test_only_whole_copies_come_without_the_index(spark, monkeypatch):
+    rng = random.Random(4)
+    passage, whole = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (40, 50))
+    docs = [(k, f"{k:03d}" + passage + f"{k:03d}") for k in range(9)] + [(20, whole), (21, whole)]
+    assert found(spark, docs, length=24) == brute(docs, 24)
+    search = spans._search
+    monkeypatch.setattr(spans, "_search", lambda rows, n: search(rows, n).where("false"))
+    assert found(spark, docs, length=24) == {(20, 0, 50), (21, 0, 50)}
+
+
+def test_texts_that_share_one_hash_are_told_apart(spark, monkeypatch):
+    p = "abcdefghijklmnop"
+    docs = [(1, p + "1"), (2, "2" + p), (3, "zzzzzzzzzzzz"), (4, p + "1")]
+    monkeypatch.setattr(spans, "_text_keys", lambda texts: list(spans.TEXT))
+    assert found(spark, docs, length=10) == brute(docs, 10)
 
 
 def test_texts_of_one_id_are_told_apart(spark):
@@ -110,20 +128,22 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert {s + k: a for s, n, a in zip(start, windows, anchors, strict=True) for k in range(n)} == expected
 
 
-def test_index_agrees_with_brute_force():
+def test_matching_statistics_agree_with_brute_force():
     rng = random.Random(9)
     for _ in range(150):
-        depth, letters = rng.choice([2, 3, 5, 12, 30]), [chr(rng.choice([0, 97, 0x3042, 0x1F600]) + k) for k in range(rng.choice([1, 2, 5, 40]))]
+        letters = [chr(rng.choice([0, 97, 0x3042, 0x1F600]) + k) for k in range(rng.choice([1, 2, 5, 40]))]
         texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(rng.randrange(1, 12))]
         texts += [texts[0] * 3, texts[0] + texts[-1]]
         owners = np.array([rng.randrange(4) for _ in texts])
-        seen = {}
-        for t, o in zip(texts, owners, strict=True):
-            for i in range(len(t) - depth + 1):
-                seen.setdefault(t[i : i + depth], set()).add(int(o))
-        expected = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - depth + 1) if len(seen[t[i : i + depth]]) > 1}
-        got = fmindex.shared_windows(texts, owners, np.arange(len(texts)), depth)
-        assert {(k, i) for k, a, b in got for i in range(a, b + 1)} == expected
+        for k, lengths in enumerate(fmindex.matching_statistics(texts, owners, np.arange(len(texts)))):
+            others = [t for t, o in zip(texts, owners, strict=True) if o != owners[k]]
+            for i, got in enumerate(lengths.tolist()):
+                assert got == max((n for n in range(len(texts[k]) - i + 1) if any(texts[k][i : i + n] in t for t in others)), default=0)
+
+
+def test_intervals_of_statistics():
+    assert fmindex.intervals(np.array([0, 5, 4, 3, 9, 0, 4]), 4) == [(1, 2, 5), (4, 4, 9), (6, 6, 4)]
+    assert fmindex.intervals(np.array([], np.int32), 4) == []
 
 
 def test_wavelet_ranks():
