@@ -6,9 +6,13 @@ source in whose share the golden-ratio point frac(i phi) falls, and the k-th slo
 source takes its k-th block, by a join. The length is the greatest at which no source
 runs out, so shares are met exactly up to one block and the schedule's discrepancy.
 
+Points are integers mod 2^62, so the schedule stays even at any length; a table of
+equal cells of that range leads from a point to the few borders near it. Blocks grow
+with the mixture, so that there are at most ``MAX_SLOTS`` of them.
+
 Scale. Running totals are two-level (slices of the hashed order), so a source with a
 third of all rows is many tasks. Only per-source totals reach the driver, at most
-``MAX_SOURCES`` rows, checked.
+``MAX_SOURCES`` rows, checked: targets are configuration.
 
 Defined cases. Sources compare in lower case; a target given twice adds up its shares
 with the greater cap. Targets without documents (or without a share or a repeat) take
@@ -20,6 +24,7 @@ texts are not used. A null cap counts as 1.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +33,20 @@ from lamella.llm.ranking import running_total
 from lamella.llm.tokens import VOCABULARY, with_tokens
 from lamella.session import written
 
-MAX_SOURCES = 10_000
-#: Tokens of a block at most; a mixture too short for MIN_SLOTS of them gets shorter ones.
+MAX_SOURCES = 100_000
+#: Tokens of a block; a mixture too short for MIN_SLOTS of them gets shorter ones, one of
+#: more than MAX_SLOTS longer ones.
 BLOCK = 128
 MIN_SLOTS = 1000
+MAX_SLOTS = 1 << 28
 SLICE_BITS = 10
 SLOTS_A_SLICE = 1 << 16
-#: Golden ratio less 1.
-PHI = (math.sqrt(5) - 1) / 2
+#: Points are multiples of 2^-62.
+BITS = 62
+#: The golden ratio less 1, in that unit.
+PHI = (math.isqrt(5 << (2 * BITS)) - (1 << BITS)) >> 1
+#: Cells of the range for each source, at least.
+CELLS = 4
 
 SCHEMA = "slot bigint, source string, doc_id bigint, repeat bigint, token_from bigint, token_to bigint"
 
@@ -60,23 +71,53 @@ def source_totals(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return goal.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
 
 
+def golden_point(i: Column) -> Column:
+    """i x PHI mod 2^BITS for 0 <= i < 2^BITS, by halves of the factors, as a product would overflow."""
+    half = BITS // 2
+    mask = (1 << half) - 1
+    low, high = i.bitwiseAND(mask), F.shiftright(i, half)
+    cross = (low * (PHI >> half) + high * (PHI & mask)).bitwiseAND(mask)
+    return (F.shiftleft(cross, half) + low * (PHI & mask)).bitwiseAND((1 << BITS) - 1)
+
+
+def borders(weights: list[float]) -> list[int]:
+    """Ends of the sources' parts of 0 .. 2^BITS; the last is 2^BITS."""
+    exact = [Fraction(w) for w in weights]
+    total, reached, out = sum(exact), Fraction(0), []
+    for w in exact:
+        reached += w
+        out.append(int(reached * (1 << BITS) / total))
+    return out
+
+
+def _cells(names: list[str], ends: list[int]) -> tuple[int, list[tuple[int, list[int], list[str]]]]:
+    """(shift, rows): the cell of a point is point >> shift; a row has the borders inside the
+    cell and the sources before, between and after them."""
+    bits = min(BITS, (CELLS * len(names)).bit_length())
+    shift, rows, k = BITS - bits, [], 0
+    for cell in range(1 << bits):
+        while ends[k] <= cell << shift:
+            k += 1
+        first = k
+        while ends[k] < (cell + 1) << shift:
+            k += 1
+        rows.append((cell, ends[first:k], names[first : k + 1]))
+    return shift, rows
+
+
 def schedule(spark, weights: list[tuple[str, float, int]], slots: int) -> DataFrame:
     """(slot, source, rank): the k-th slot of its source, cut where a source's blocks end.
 
-    ``weights``: (source, weight, blocks it has); weights add up to 1.
+    ``weights``: (source, weight, blocks it has).
     """
-    total, edges = 0.0, []
-    for _, w, _ in weights[:-1]:
-        total += w
-        edges.append(total)
-    point = F.expr(f"(cast(id + 1 as double) * {PHI!r}D) % 1D")
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("point"))) if edges else F.lit(0)
-    names = F.array(*[F.lit(n) for n, _, _ in weights])
-    drawn = spark.range(slots).withColumn("point", point).select(F.col("id").alias("slot"), names[place].alias("source"))
+    shift, rows = _cells([n for n, _, _ in weights], borders([w for _, w, _ in weights]))
+    cells = F.broadcast(spark.createDataFrame(rows, "cell bigint, ends array<bigint>, names array<string>"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point")).withColumn("cell", F.shiftright("point", shift))
+    drawn = points.join(cells, "cell").select("slot", F.get("names", F.size(F.filter("ends", lambda e: e <= F.col("point")))).alias("source"))
     ranked = running_total(drawn, ["source"], [F.col("slot")], F.expr(f"slot div {SLOTS_A_SLICE}"), F.lit(1), "rank")
     ranked = written(ranked.select("slot", "source", "rank"), "schedule")
-    blocks = F.create_map(*[x for n, _, b in weights for x in (F.lit(n), F.lit(b).cast("bigint"))])
-    end = ranked.where(F.col("rank") >= blocks[F.col("source")]).agg(F.min("slot")).first()[0]
+    blocks = F.broadcast(spark.createDataFrame([(n, b) for n, _, b in weights], "source string, blocks bigint"))
+    end = ranked.join(blocks, "source").where("rank >= blocks").agg(F.min("slot")).first()[0]
     return ranked if end is None else ranked.where(F.col("slot") < end)
 
 
@@ -95,7 +136,7 @@ def mix(sizes: DataFrame, totals: DataFrame, block: int | None = None, total_tok
     longest = min((have * times * share / s for _, s, times, have in usable), default=0)
     if total_tokens is not None:
         longest = min(longest, total_tokens)
-    block = block or max(1, min(BLOCK, int(longest) // MIN_SLOTS))
+    block = block or max(1, min(BLOCK, int(longest) // MIN_SLOTS), int(longest) // MAX_SLOTS)
     weights = [(n, s / share, have * times // block) for n, s, times, have in usable]
     slots = min((int(b / w) for _, w, b in weights), default=0)
     if total_tokens is not None:
@@ -108,7 +149,7 @@ def mix(sizes: DataFrame, totals: DataFrame, block: int | None = None, total_tok
     per_source = spark.createDataFrame([(n, have[n], k * block) for n, k in used.items()], "source string, available bigint, quota bigint")
 
     streams = running_total(sizes, ["source"], [F.col("hashed"), F.col("doc_id"), F.col("tokens")], F.shiftright("hashed", 64 - SLICE_BITS), F.col("tokens"), "offset")
-    streams = streams.join(F.broadcast(per_source), "source")
+    streams = streams.join(F.broadcast(per_source), "source")  # a row for each source
     # occurrence r begins at r * available + offset of the repeated stream
     turns = streams.where("offset < quota").withColumn("repeat", F.explode(F.expr("sequence(0L, (quota - 1 - offset) div available)")))
     placed = turns.withColumn("begin", F.expr("repeat * available + offset")).withColumn("end", F.expr("least(quota, begin + tokens)"))

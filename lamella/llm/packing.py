@@ -5,8 +5,9 @@ items fill equal containers, so a step places whole ranges of them. The plan map
 ranks within a length to containers; items get their rank and join the plan.
 
 Scale. The histogram has at most capacity rows and the plan a small multiple of that,
-both bounded by ``MAX_CAPACITY`` and so broadcast; items are shuffled once, in slices
-of a length, so a length that a third of all items share is many tasks.
+so both are bounded by ``MAX_CAPACITY``, and the plan is broadcast; specs whose
+capacities add up to more are planned in groups, one after the other. Items are shuffled
+once, in slices of a length, so a length that a third of all items share is many tasks.
 
 Defined cases. Null and empty texts are no items. An item beyond the capacity is cut
 into full pieces and a rest, any other is whole. Items of size 0 go to container 0.
@@ -25,8 +26,10 @@ from lamella.llm.ranking import positions
 from lamella.llm.tokens import VOCABULARY, with_tokens
 from lamella.session import written
 
-#: Sum of all capacities, which bounds the histogram collected to the driver.
+#: Largest capacity, and sum of those planned together: bounds the histogram on the driver.
 MAX_CAPACITY = 500_000
+#: Specs are configuration; more than this many are an error.
+MAX_PACKS = 1000
 #: Rows aimed at for one slice of a length.
 SLICE = 200_000
 
@@ -82,19 +85,38 @@ def best_fit(capacity: int, histogram: dict[int, int]) -> list[tuple[int, int, i
     return plan
 
 
-def pack(items: DataFrame, specs: DataFrame) -> DataFrame:
+def pack(items: DataFrame, specs: DataFrame, together: int = MAX_CAPACITY) -> DataFrame:
     """Assign (item_id, hashed, size) to containers of every spec (pack_name, capacity).
 
     Returns pack_name, capacity, container, item_id, piece, offset, size. ``hashed`` is
-    a bigint hash that tells items apart; items equal in it may swap places.
+    a bigint hash that tells items apart; items equal in it may swap places. Capacities
+    that add up to at most ``together`` are planned together.
     """
     spark = items.sparkSession
-    packs = sorted({(r[0], int(r[1])) for r in specs.where("pack_name is not null and capacity >= 1").distinct().limit(MAX_CAPACITY + 1).collect()})
-    schema = "pack_name string, capacity bigint, container bigint, item_id bigint, piece bigint, offset bigint, size bigint"
+    found = specs.where("pack_name is not null and capacity >= 1").select("pack_name", "capacity").distinct().limit(MAX_PACKS + 1).collect()
+    if len(found) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} specs")
+    packs = sorted((r[0], int(r[1])) for r in found)
     if not packs:
-        return spark.createDataFrame([], schema)
-    if sum(c for _, c in packs) > MAX_CAPACITY:
-        raise ValueError(f"capacities add up to more than {MAX_CAPACITY}")
+        return spark.createDataFrame([], "pack_name string, capacity bigint, container bigint, item_id bigint, piece bigint, offset bigint, size bigint")
+    if max(c for _, c in packs) > MAX_CAPACITY:
+        raise ValueError(f"a capacity is greater than {MAX_CAPACITY}")
+    groups: list[list[tuple[str, int]]] = []
+    for p in packs:
+        if not groups or sum(c for _, c in groups[-1]) + p[1] > together:
+            groups.append([])
+        groups[-1].append(p)
+    if len(groups) == 1:
+        return _pack(items, packs)
+    done = [written(_pack(items, g), "packed") for g in groups]  # a plan is gone before the next is made
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pack(items: DataFrame, packs: list[tuple[str, int]]) -> DataFrame:
+    spark = items.sparkSession
     ids = F.array(*[F.struct(F.lit(k).alias("pack"), F.lit(c).cast("bigint").alias("capacity")) for k, (_, c) in enumerate(packs)])
     spread = items.withColumn("spec", F.explode(ids)).select("item_id", "hashed", F.col("size").alias("whole"), "spec.*")
     cut = spread.withColumn("piece", F.explode(F.expr("sequence(0L, greatest(0L, (whole - 1) div capacity))")))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.session import splittable, written
@@ -40,11 +40,15 @@ def ranked_sets(members: DataFrame) -> DataFrame:
     return distinct.join(ranks, "token").groupBy("record").agg(F.sort_array(F.collect_list("rank")).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
-def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (class_id, tokens, n, copies) and membership (record, class_id, copies)."""
+def set_classes(sets: DataFrame, side: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Classes (class_id, tokens, n, copies, lefts, rights) and membership (record, class_id, copies).
+
+    ``side``: is a record of the left table? Without it, every record is of both.
+    """
     # written before it is used twice: ranks may come out differently in a second run
     keyed = written(sets.withColumn("digest", F.sha2(F.to_json("tokens"), 256)), "sets")
-    classes = keyed.groupBy("digest").agg(F.min("record").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    left, right = (side, ~side) if side is not None else (F.lit(True), F.lit(True))
+    classes = keyed.groupBy("digest").agg(F.min("record").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max(left).alias("lefts"), F.max(right).alias("rights"))
     stored = written(keyed.join(splittable(classes), "digest").drop("digest"), "set-classes")
     return stored.where(F.col("record") == F.col("class_id")).drop("record"), stored.select("record", "class_id", "copies")
 
@@ -62,25 +66,28 @@ def length_borders(threshold: Fraction, longest: int) -> list[int]:
 
 
 def similar_classes(classes: DataFrame, threshold: Fraction, block: int = BLOCK) -> DataFrame:
-    """(a, b, overlap, similarity) for pairs of class representatives, a < b."""
+    """(a, b, overlap, similarity) for pairs of class representatives, a < b.
+
+    Classes meet only if one has records of the left table and the other of the right.
+    """
     p, q = threshold.numerator, threshold.denominator
     # integer forms of n - ceil(t n) + 1 and ceil(t/(1+t) (n_a + n_b))
     prefix = F.expr(f"n - (({p} * n + {q - 1}) div {q}) + 1")
-    rows = classes.select("class_id", F.col("n").cast("bigint").alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("pos", "rank"))
+    rows = classes.select("class_id", "lefts", "rights", F.col("n").cast("bigint").alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("pos", "rank"))
     longest = classes.agg(F.max("n")).first()[0] or 1
     borders = F.array(*[F.lit(b).cast("bigint") for b in length_borders(threshold, longest)])
     rows = rows.withColumn("span", F.size(F.filter(borders, lambda b: b <= F.col("n"))))
     longs = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     blocks = longs.select("rank", F.expr(f"cast((len + {block - 1}) div {block} as int)").alias("blocks"))
     posted = written(rows.join(splittable(blocks), "rank"), "postings")
-    a = posted.select("rank", "span", F.expr("pmod(xxhash64(class_id), blocks)").cast("int").alias("block"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    a = posted.select("rank", "span", F.expr("pmod(xxhash64(class_id), blocks)").cast("int").alias("block"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lefts").alias("la"), F.col("rights").alias("ra"))
     # the longer set of a pair is of the shorter one's length class or of the next
     b = posted.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") - 1)))
-    b = b.select("rank", "span", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    b = b.select("rank", "span", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lefts").alias("lb"), F.col("rights").alias("rb"))
     needed = f"(({p} * (na + nb) + {p + q - 1}) div {p + q})"
     met = a.join(b, ["rank", "span", "block"]).where(
         # each pair once: the shorter set on the left, ties by id
-        F.expr(f"(na < nb or (na = nb and a < b)) and {q} * na >= {p} * nb and 1 + least(na - pa - 1, nb - pb - 1) >= {needed}")
+        F.expr(f"((la and rb) or (ra and lb)) and (na < nb or (na = nb and a < b)) and {q} * na >= {p} * nb and 1 + least(na - pa - 1, nb - pb - 1) >= {needed}")
     )
     pairs = met.select("a", "b").distinct()
     left = classes.select(F.col("class_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").cast("bigint").alias("na"))
@@ -109,15 +116,22 @@ def expanded(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def similar_between(left: DataFrame, right: DataFrame, threshold: Fraction, block: int = BLOCK) -> DataFrame:
-    """Pairs between two tables of (record, token): (left_record, right_record).
+    """Pairs between two tables of (record, token): (left_record, right_record), as they were.
 
-    Both tables share one ranking and one classing; pairs inside a table are dropped
-    after the class join, before expansion.
+    Both tables share one ranking and one classing. Candidates of one table only are
+    dropped in the join that makes them. Pairs are expanded to records, as every one is
+    asked for.
     """
-    tagged = left.select(F.concat(F.lit("l"), F.col("record").cast("string")).alias("record"), "token").unionByName(right.select(F.concat(F.lit("r"), F.col("record").cast("string")).alias("record"), "token"))
-    pairs, membership = similar_sets(tagged, threshold, block)
-    own = membership.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
-    lefts = membership.where(F.col("record").startswith("l")).select(F.expr("substring(record, 2)").alias("left_record"), F.col("class_id").alias("a"))
-    rights = membership.where(F.col("record").startswith("r")).select(F.expr("substring(record, 2)").alias("right_record"), F.col("class_id").alias("b"))
+    kinds = {n: df.schema["record"].dataType for n, df in (("left", left), ("right", right))}
+
+    def tagged(df: DataFrame, name: str) -> DataFrame:
+        held = [(F.col("record") if n == name else F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()]
+        return df.where(F.col("record").isNotNull()).select(F.struct(F.lit(name == "left").alias("is_left"), *held).alias("record"), "token")
+
+    classes, membership = set_classes(ranked_sets(tagged(left, "left").unionByName(tagged(right, "right"))), F.col("record.is_left"))
+    pairs = similar_classes(classes, threshold, block).select("a", "b")
+    own = classes.where("lefts and rights").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
+    lefts = membership.where("record.is_left").select(F.col("record.left").alias("left_record"), F.col("class_id").alias("a"))
+    rights = membership.where("not record.is_left").select(F.col("record.right").alias("right_record"), F.col("class_id").alias("b"))
     return links.join(lefts, "a").join(rights, "b").select("left_record", "right_record")

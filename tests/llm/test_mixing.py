@@ -48,6 +48,32 @@ def test_schedule_is_even_at_every_length(spark):
         assert all(abs(count[n] - w * (slot + 1)) < 8 for n, w, _ in weights)
 
 
+def test_points_are_exact_at_any_place(spark):
+    places = [0, 1, 2, 12345, 2**31 - 1, 2**31, 2**40 + 7, 2**61 + 12345, 2**62 - 1]
+    got = spark.createDataFrame([(i,) for i in places], "i bigint").select(mixing.golden_point(F.col("i"))).collect()
+    assert [r[0] for r in got] == [i * mixing.PHI % 2**mixing.BITS for i in places]
+    assert abs(mixing.PHI / 2**mixing.BITS - 0.6180339887498949) < 1e-15
+
+
+def test_cells_lead_to_the_part_a_point_lies_in(spark):
+    weights = [("a", 1e-9), ("b", 0.25), ("c", 0.25), ("d", 1e-12), ("e", 0.4), *[(f"s{k}", 1e-6) for k in range(50)]]
+    ends = mixing.borders([w for _, w in weights])
+    assert ends[-1] == 2**mixing.BITS and ends == sorted(ends)
+    shift, rows = mixing._cells([n for n, _ in weights], ends)
+    assert [r[0] for r in rows] == list(range(len(rows))) and len(rows) << shift == 2**mixing.BITS
+    for p in {x + d for e in ends for x in (e,) for d in (-1, 0, 1)} | {0, 2**61, 3 << 60}:
+        if 0 <= p < 2**mixing.BITS:
+            _, inner, names = rows[p >> shift]
+            assert names[sum(e <= p for e in inner)] == weights[sum(e <= p for e in ends)][0]
+
+
+def test_blocks_grow_with_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 50)
+    s = sizes(spark, [(k, "a", 1000) for k in range(100)])
+    totals = mixing.source_totals(s, spark.createDataFrame([("a", 1.0, 1)], TARGETS))
+    assert mixing.mix(s, totals).agg(F.count_distinct("slot"), F.sum(F.col("token_to") - F.col("token_from"))).first()[:] == (50, 100_000)
+
+
 def test_nothing_to_mix(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", None, None)], TARGETS)
     none = sizes(spark, [])

@@ -67,6 +67,13 @@ def test_every_item_whole_in_one_container(spark):
     assert report["l"]["containers"] <= 1.23 * report["l"]["least"] + 1
 
 
+def test_capacities_planned_in_groups(spark):
+    items = spark.createDataFrame([(k, 1 + k % 37) for k in range(300)], "item_id bigint, size bigint").withColumn("hashed", F.xxhash64("item_id"))
+    specs = spark.createDataFrame([("a", 10), ("b", 40), ("c", 64), ("c", 16)], SPECS)
+    one, many = (sorted(map(tuple, packing.pack(items, specs, together=n).collect())) for n in (500_000, 50))
+    assert one == many and {r[:2] for r in one} == {("a", 10), ("b", 40), ("c", 64), ("c", 16)}
+
+
 def test_nothing_to_pack(spark):
     assert packed(spark, [], [("s", 4)]).collect() == []
     assert packed(spark, [(1, 3)], []).collect() == []

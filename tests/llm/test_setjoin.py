@@ -63,6 +63,18 @@ def test_between_two_tables(spark):
     assert got == {("1", "1"), ("2", "3")}
 
 
+def test_between_keeps_types_and_meets_no_pair_of_one_table(spark):
+    rng = random.Random(1)
+    left = {k: set(rng.choices("abcdefgh", k=rng.randrange(0, 7))) for k in range(40)}
+    right = {bytes([k, 255]): set(rng.choices("abcdefgh", k=rng.randrange(0, 7))) for k in range(40)}
+    lefts = spark.createDataFrame([(r, t) for r, s in left.items() for t in s] + [(None, "a")], "record bigint, token string")
+    rights = spark.createDataFrame([(r, t) for r, s in right.items() for t in s], "record binary, token string")
+    expected = {(a, b) for a, x in left.items() for b, y in right.items() if x | y and 2 * len(x & y) >= len(x | y)}
+    for block in (2000, 2):
+        rows = [(r["left_record"], bytes(r["right_record"])) for r in setjoin.similar_between(lefts, rights, Fraction(1, 2), block).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == expected
+
+
 def test_partners_are_in_neighbouring_length_classes():
     for t in (Fraction(7, 10), Fraction(1, 2), Fraction(99, 100), Fraction(1, 1), Fraction(1, 10)):
         borders = setjoin.length_borders(t, 400)
