@@ -5,10 +5,11 @@ Patterns are configuration: the glob join is broadcast only up to ``MAX_RULES``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions import names, values
+from lamella.operators.ranks import running_total
 
 MAX_RULES = 10_000
 
@@ -51,8 +52,10 @@ def retention_ranks(tags: DataFrame, policy: DataFrame, now: str) -> DataFrame:
     """
     known = tags.join(policy, "image")
     protected = F.coalesce(F.array_contains("keep_tags", F.col("tag")), F.lit(False))
-    w = Window.partitionBy("image", "protected").orderBy(F.col("at").desc(), F.col("tag").asc())
-    ranked = known.withColumn("protected", protected).withColumn("place", F.when(~F.col("protected"), F.row_number().over(w)))
+    # newest first, by days, so that an image with many tags is many tasks; no time comes last
+    day = F.coalesce(-F.unix_date(F.col("at").cast("date")), F.lit(1 << 30))
+    placed = running_total(known.withColumn("protected", protected), ["image", "protected"], [F.col("at").desc(), F.col("tag").asc()], day, F.lit(1), "before")
+    ranked = placed.withColumn("place", F.when(~F.col("protected"), F.col("before") + 1))
     limit = values.duration_column(F.col("max_age"))
     age = F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp("at")
     aged = F.when(F.coalesce(limit, F.lit(0)) > 0, F.coalesce(age > limit, F.lit(False))).otherwise(True)

@@ -110,8 +110,7 @@ def effective_policy(spark: SparkSession, d: str) -> DataFrame:
 def retention_ranks(spark: SparkSession, d: str) -> DataFrame:
     pushes = temporal.counted_pushes(table(spark, d, "history"))
     tags = pushes.groupBy("image", "tag").agg(F.max("at").alias("at"))
-    ranks = policy.retention_ranks(tags, _policies(spark, d), NOW)
-    return ranks.withColumn("place", F.col("place").cast("bigint"))
+    return policy.retention_ranks(tags, _policies(spark, d), NOW)
 
 
 def recipe_offsets(spark: SparkSession, d: str) -> DataFrame:
