@@ -22,8 +22,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.ranking import positions
 from lamella.llm.tokens import VOCABULARY, with_tokens
+from lamella.operators.ranks import positions
 from lamella.session import written
 
 #: Largest capacity, and sum of those planned together: bounds the histogram on the driver.

@@ -1,12 +1,9 @@
-"""Top N items within every group, and ranks over hot groups.
+"""Top N items within every group.
 
 Top N is two-stage: each group is hashed into subgroups, N are kept in each, and the
 survivors are ranked by score and identifier. A group of any size therefore ends in a
 window of at most salts x N rows.
 
-``positions`` numbers rows of a group 0, 1, 2, … without sorting a group in one task:
-rows are numbered inside (group, slice) and shifted by the sizes of the slices before.
-
 Defined cases. Ties in score go to the identifier, then equal rows are equal and any
 one of them may be the one kept. A null N keeps nothing. Null scores come last; a
 null group is a group of its own. An empty table gives an empty result.
@@ -34,28 +31,3 @@ def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], salt_o
     outer = Window.partitionBy(*group).orderBy(*order)
     ranked = survivors.drop("_salt").withColumn("_rank", F.row_number().over(outer)).where(F.col("_rank") <= int(most))
     return ranked.where(F.col("_rank") <= n).drop("_rank")
-
-
-def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[Column], part: Column, amount: Column, name: str) -> DataFrame:
-    """Sum of ``amount`` over the rows of the group that come before, by ``order``.
-
-    ``part`` is an integer that never falls along ``order``; it cuts a group into
-    slices, each summed in its own window and shifted by the slices before. The table
-    of slices has one row for each (group, part).
-    """
-    sliced = rows.withColumns({"_part": part, "_amount": amount})
-    sizes = sliced.groupBy(*group, "_part").agg(F.sum("_amount").alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    inner = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = sliced.withColumn("_before", F.coalesce(F.sum("_amount").over(inner), F.lit(0)))
-    return summed.join(shifts, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_shift")).cast("bigint")).drop("_part", "_amount", "_before", "_shift")
-
-
-def positions(rows: DataFrame, group: Sequence[str], hashed: str, slices: int, name: str = "position", ties: Sequence[str] = ()) -> DataFrame:
-    """Number the rows of each group 0, 1, 2, … in the order of a bigint hash, then ``ties``.
-
-    With ties that tell unequal rows apart, a task that is run again numbers alike.
-    """
-    bits = max(1, min(20, (max(1, slices) - 1).bit_length()))
-    return running_total(rows, group, [F.col(c) for c in (hashed, *ties)], F.shiftright(hashed, 64 - bits), F.lit(1), name)

@@ -43,12 +43,3 @@ def test_top_n_of_a_hot_group(spark):
     for g in {r[0] for r in rows}:
         expected += sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))[:7]
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
-
-
-def test_positions_number_every_row_once(spark):
-    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.xxhash64(F.col("id") % 4000).alias("h"))
-    rows = ranking.positions(df, ["g"], "h", 16).collect()
-    for g in range(3):
-        held = sorted((r["position"], r["h"]) for r in rows if r["g"] == g)
-        assert [p for p, _ in held] == list(range(len(held)))
-        assert [h for _, h in held] == sorted(h for _, h in held)
