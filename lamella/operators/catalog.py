@@ -165,17 +165,25 @@ def by_storage_class(object_listing: DataFrame) -> DataFrame:
     return grouped.withColumn("share", values.share(F.col("bytes"), total))
 
 
+def _tag_layers(manifest: DataFrame, prefix: str) -> DataFrame:
+    manifests = plain_manifests(manifest)
+    walked = tag_manifests(current_tags(manifest).where(F.col("image").startswith(prefix)), manifests, attestations=False)
+    layers = layer_rows(manifests).where("digest is not null").select("manifest_id", "digest", "size_bytes")
+    return walked.select(F.concat_ws(":", "image", "tag").alias("name"), "manifest_id").join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
+
+
+def layer_tags(manifest: DataFrame, prefix: str = "") -> DataFrame:
+    """(digest, name): every tag of every layer, one row each, so a layer in very many tags stays many rows."""
+    return _tag_layers(manifest, prefix).select("digest", "name")
+
+
 def layer_sharing(manifest: DataFrame, prefix: str = "") -> DataFrame:
     """(digest, size_bytes, n_tags, logical_bytes, first_tag, last_tag) of every layer.
 
     A layer counts once for a tag, at any depth; attestations of an index are skipped; of differing
     sizes the one of the first tag by name holds, within a tag the greatest.
     """
-    manifests = plain_manifests(manifest)
-    walked = tag_manifests(current_tags(manifest).where(F.col("image").startswith(prefix)), manifests, attestations=False)
-    layers = layer_rows(manifests).where("digest is not null").select("manifest_id", "digest", "size_bytes")
-    per_tag = walked.select(F.concat_ws(":", "image", "tag").alias("name"), "manifest_id").join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
-    shared = per_tag.groupBy("digest").agg(F.min_by("size_bytes", "name").alias("size_bytes"), F.count(F.lit(1)).alias("n_tags"), F.min("name").alias("first_tag"), F.max("name").alias("last_tag"))
+    shared = _tag_layers(manifest, prefix).groupBy("digest").agg(F.min_by("size_bytes", "name").alias("size_bytes"), F.count(F.lit(1)).alias("n_tags"), F.min("name").alias("first_tag"), F.max("name").alias("last_tag"))
     return shared.withColumn("logical_bytes", F.col("size_bytes") * F.col("n_tags"))
 
 
@@ -205,6 +213,12 @@ def platforms(manifests: DataFrame) -> DataFrame:
     return rows.select("manifest_id", "pos", names.platform_text(F.col("x.platform")).alias("platform"), names.is_attestation(F.col("x.platform")).alias("attestation"))
 
 
+def platform_names(manifests: DataFrame) -> DataFrame:
+    """(manifest_id, platforms): names of an index's platforms, sorted, attestations left out; none for other rows."""
+    runs = F.filter(F.transform("manifests", lambda x: x["platform"]), lambda p: ~names.is_attestation(p))
+    return manifests.where(F.size("manifests") > 0).select("manifest_id", F.array_sort(F.transform(runs, names.platform_text)).alias("platforms"))
+
+
 def lookup_digest(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
     """Answer for each digest of ``wanted``: its manifest row, else the index that lists it.
 

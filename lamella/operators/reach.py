@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.functions import digests
+from lamella.functions import digests, names
 from lamella.operators import catalog
 from lamella.session import splittable, written
 
@@ -57,8 +57,19 @@ def garbage(object_listing: DataFrame, live: DataFrame, now: str, grace: str = "
     return dead.select("kind", "digest", "size_bytes", F.coalesce(old, F.lit(False)).alias("old_enough"))
 
 
-def garbage_summary(dead: DataFrame) -> DataFrame:
-    return dead.groupBy("kind").agg(F.count_if("old_enough").alias("deletable"), F.coalesce(F.sum(F.when(F.col("old_enough"), F.col("size_bytes"))), F.lit(0)).alias("deletable_bytes"), F.count_if(~F.col("old_enough")).alias("too_young"))
+def garbage_summary(dead: DataFrame, object_listing: DataFrame) -> DataFrame:
+    """Per class: objects looked at, to be deleted (with bytes) and too young to be."""
+    scanned = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes', 'indexes', 'chunks')").groupBy("kind").agg(F.count(F.lit(1)).alias("scanned"))
+    counts = dead.groupBy("kind").agg(F.count_if("old_enough").alias("deletable"), F.coalesce(F.sum(F.when(F.col("old_enough"), F.col("size_bytes"))), F.lit(0)).alias("deletable_bytes"), F.count_if(~F.col("old_enough")).alias("too_young"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("deletable", "deletable_bytes", "too_young")}
+    return scanned.join(counts, "kind", "left").withColumns(zero)
+
+
+def missing_references(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
+    """(image, tag, digest): each thing a tag refers to that is not stored, as blob or recipe."""
+    stored = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").select("digest").distinct()
+    refs = catalog.tag_references(manifest).select("image", "tag", F.col("child").alias("digest")).distinct()
+    return refs.join(splittable(stored), "digest", "left_anti").select("image", "tag", "digest")
 
 
 def missing(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
@@ -66,9 +77,16 @@ def missing(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
 
     Whole blobs and recipes count as stored, as either restores a layer.
     """
-    stored = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").select(F.col("digest").alias("child")).distinct()
-    refs = catalog.tag_references(manifest).select("image", "tag", "child").distinct()
-    return refs.join(splittable(stored), "child", "left_anti").groupBy("image", "tag").agg(F.count(F.lit(1)).alias("n_missing"), F.min("child").alias("first_missing"))
+    return missing_references(manifest, object_listing).groupBy("image", "tag").agg(F.count(F.lit(1)).alias("n_missing"), F.min("digest").alias("first_missing"))
+
+
+def missing_chunks(recipe: DataFrame, object_listing: DataFrame) -> DataFrame:
+    """(layer, digest): chunks of stored recipes that are not stored (an extension of the health check)."""
+    held = catalog.live_objects(object_listing)
+    live = held.where("kind = 'recipes'").select(F.col("digest").alias("layer"))
+    chunks = held.where("kind = 'chunks'").select(F.col("digest").alias("child"))
+    edges = chunk_edges(recipe).join(splittable(live), "layer", "left_semi")
+    return edges.join(splittable(chunks), "child", "left_anti").select("layer", F.col("child").alias("digest"))
 
 
 def orphans(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
@@ -77,11 +95,15 @@ def orphans(manifest: DataFrame, object_listing: DataFrame) -> DataFrame:
     return catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").join(refs, "digest", "left_anti").select("kind", "digest", "size_bytes")
 
 
-def resolved_layers(manifests: DataFrame, object_listing: DataFrame) -> DataFrame:
-    """(digest, held_as): how each referred layer is stored: blob, recipe or missing."""
-    held = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").groupBy("digest").agg(F.max((F.col("kind") == "recipes").cast("int")).alias("chunked"))
+def resolved_layers(manifests: DataFrame, object_listing: DataFrame, first: str = "blob") -> DataFrame:
+    """(digest, held_as): how each referred layer is stored: blob, recipe or missing.
+
+    Of a layer stored both ways, serving takes the whole ``blob``, pulling the ``recipe``.
+    """
+    held = catalog.live_objects(object_listing).where("kind in ('blobs', 'recipes')").groupBy("digest").agg(F.bool_or(F.col("kind") == "blobs").alias("blob"), F.bool_or(F.col("kind") == "recipes").alias("recipe"))
     layers = catalog.layer_rows(manifests).where("digest is not null").select("digest").distinct()
-    return layers.join(held, "digest", "left").select("digest", F.when(F.col("chunked") == 1, "recipe").when(F.col("chunked") == 0, "blob").otherwise("missing").alias("held_as"))
+    other = "recipe" if first == "blob" else "blob"
+    return layers.join(held, "digest", "left").select("digest", F.when(F.col(first), first).when(F.col(other), other).otherwise("missing").alias("held_as"))
 
 
 def copy_plan(manifest: DataFrame, source_prefix: str, target_prefix: str) -> DataFrame:
@@ -92,6 +114,11 @@ def copy_plan(manifest: DataFrame, source_prefix: str, target_prefix: str) -> Da
     return wanted.join(there, "digest", "left").select("digest", "size_bytes", F.when(F.col("there"), "skip").otherwise("copy").alias("action"))
 
 
+def copy_summary(plan: DataFrame) -> DataFrame:
+    """(action, objects, bytes) of a copy plan."""
+    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
 def sidecar_plan(keys: DataFrame, source_prefix: str, target_prefix: str, rewritten: bool) -> DataFrame:
     """(object_key, target_key, action) for what lies beside a copied manifest.
 
@@ -103,8 +130,8 @@ def sidecar_plan(keys: DataFrame, source_prefix: str, target_prefix: str, rewrit
 
 
 def retargeted_layers(manifests: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Layers with digest and size replaced by the recipe's compressed identity, if one exists."""
+    """Layers with digest, size and media type replaced by the recipe's compressed identity, if one exists."""
     raw, packed = digests.plain(F.col("layer")), digests.plain(F.col("compressed_digest"))
     by_layer = recipe.select(raw.alias("digest"), packed.alias("packed"), "compressed_size", "recipe_id").where("digest is not null and packed is not null").groupBy("digest").agg(F.min_by(F.struct("packed", "compressed_size"), "recipe_id").alias("r"))
     rows = catalog.layer_rows(manifests).join(splittable(by_layer), "digest", "left")
-    return rows.select("manifest_id", "pos", F.coalesce("r.packed", "digest").alias("digest"), F.when(F.col("r").isNotNull(), F.col("r.compressed_size")).otherwise(F.col("size_bytes")).alias("size_bytes"), F.col("r").isNotNull().alias("retargeted"))
+    return rows.select("manifest_id", "pos", F.coalesce("r.packed", "digest").alias("digest"), F.when(F.col("r").isNotNull(), F.col("r.compressed_size")).otherwise(F.col("size_bytes")).alias("size_bytes"), F.when(F.col("r").isNotNull(), names.ZSTD_LAYER).otherwise(F.col("media_type")).alias("media_type"), F.col("r").isNotNull().alias("retargeted"))

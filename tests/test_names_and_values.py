@@ -54,9 +54,43 @@ def test_digest_forms(spark):
 
 
 def test_globs(spark):
-    rows = spark.createDataFrame([(g, n) for g in ["a/*", "a/?", "a.b", "*", "a/[b]", "a/**/c", "(a|b)"] for n in ["a/b", "a/bc", "a/b/c", "a.b", "axb", "a/[b]", "(a|b)"]], "g string, n string")
-    got = {(r["g"], r["n"]) for r in rows.where(F.regexp_like("n", names.glob_pattern(F.col("g")))).collect()}
-    assert got == {("a/*", "a/b"), ("a/*", "a/bc"), ("a/*", "a/[b]"), ("a/?", "a/b"), ("a.b", "a.b"), ("*", "a.b"), ("*", "axb"), ("*", "(a|b)"), ("a/[b]", "a/[b]"), ("a/**/c", "a/b/c"), ("(a|b)", "(a|b)")}
+    named = ["a/b", "a/bc", "a/b/c", "a.b", "axb", "a/[b]", "(a|b)", "a-b", "a^b", "a]b", "a*b"]
+    matches = {
+        "a/*": ["a/b", "a/bc", "a/[b]"], "a/?": ["a/b"], "a.b": ["a.b"], "*": ["a.b", "axb", "(a|b)", "a-b", "a^b", "a]b", "a*b"], "a/[b]": ["a/b"], "a/**/c": ["a/b/c"], "(a|b)": ["(a|b)"],
+        "a/\\[b\\]": ["a/[b]"], "a[^a-z]b": ["a/b", "a.b", "a-b", "a^b", "a]b", "a*b"], "a[a-z]b": ["axb"], "a[x.]b": ["a.b", "axb"], "a[\\-\\]]b": ["a-b", "a]b"], "a[^]b": [], "a[]b": [], "a[b": [], "a\\": [], "a[-]b": [], "a[z-a]b": [], "a[^z-a]b": ["a/b", "a.b", "axb", "a-b", "a^b", "a]b", "a*b"],
+        "a[x^]b": ["axb", "a^b"], "a\\*b": ["a*b"], "[a-]": [], "a[x-\\z]b": ["axb"],
+    }
+    rows = spark.createDataFrame([(g, n) for g in matches for n in named], "g string, n string").withColumn("re", names.glob_pattern(F.col("g")))
+    got = {(r["g"], r["n"]) for r in rows.where(F.regexp_like("n", F.col("re"))).collect()}
+    assert got == {(g, n) for g, held in matches.items() for n in held}
+    assert names.glob_regex(None) is None and names.glob_regex("a[") is None
+
+
+def test_references_of_buckets_patterns_and_registries():
+    assert names.parse_bucket("s3://b") == ("s3", "b", "") and names.parse_bucket("gs://b/team") == ("gs", "b", "team/") and names.parse_bucket("local://./store/a/b/") == ("local", "./store", "a/b/")
+    assert names.parse_bucket("local:///srv/x/") == ("local", "/srv", "x/")
+    assert names.parse_pattern("s3://b/dev/*") == ("s3", "b", "dev/*") and names.parse_pattern("local://../s/app/") == ("local", "../s", "app")
+    for bad in ("b/x", "http://b", "s3://", "s3:///x"):
+        with pytest.raises(ValueError):
+            names.parse_bucket(bad)
+    for raw, expected in {
+        "alpine": ("registry-1.docker.io", "library/alpine", "latest"), "nginx:1.2": ("registry-1.docker.io", "library/nginx", "1.2"), "user/app:v1": ("registry-1.docker.io", "user/app", "v1"),
+        "https://ghcr.io/o/i:t": ("ghcr.io", "o/i", "t"), "localhost/x": ("localhost", "x", "latest"), "h:5000/a/b": ("h:5000", "a/b", "latest"),
+    }.items():
+        assert names.parse_registry(raw) == expected
+    with pytest.raises(ValueError):
+        names.parse_registry("ghcr.io/:x")
+
+
+def test_platform_choice():
+    three = ["linux/arm64/v8", "linux/amd64", "windows/amd64"]
+    assert names.choose_platform([], "x/y", "h") == ("x/y", [])
+    assert names.choose_platform(three, "linux/arm64", "linux/amd64") == ("linux/arm64", ["linux/amd64", "windows/amd64"])
+    assert names.choose_platform(three, "", "linux/amd64") == ("linux/amd64", ["linux/arm64/v8", "windows/amd64"])
+    assert names.choose_platform(["linux/s390x"], "", "linux/amd64") == ("linux/s390x", [])
+    for wanted, host in (("linux/riscv64", "linux/amd64"), ("", "linux/riscv64")):
+        with pytest.raises(ValueError):
+            names.choose_platform(three, wanted, host)
 
 
 def test_paths(spark):

@@ -100,7 +100,9 @@ def test_images_of_keys_prefer_the_newer_layout(spark):
 def test_policy_priority_and_merge(spark):
     rules = [("default", 10, "90d", ["latest"], False), ("a/*", 0, "", [], True), ("a/bb*", 3, None, None, None), ("a/bbb", None, "7d", None, None), (None, 1, None, None, None), ("[", 1, None, None, None)]
     images = spark.createDataFrame([("a/x",), ("a/bbc",), ("a/bbb",), ("z",), (None,)], "image string")
-    got = {r["image"]: tuple(r)[1:] for r in policy.effective(images, spark.createDataFrame(rules, "image_pattern string, keep_last int, max_age string, keep_tags array<string>, immutable boolean")).collect()}
+    found = policy.effective(images, spark.createDataFrame(rules, "image_pattern string, keep_last int, max_age string, keep_tags array<string>, immutable boolean")).collect()
+    got = {r["image"]: tuple(r)[1:6] for r in found}
+    assert {r["image"]: tuple(r)[6:] for r in found if r["image"] in ("a/x", "a/bbc")} == {"a/x": ("default", "default", "default", "a/*"), "a/bbc": ("a/bb*", "default", "default", "default")}
     assert got == {"a/x": ("a/*", 10, "90d", ["latest"], True), "a/bbc": ("a/bb*", 3, "90d", ["latest"], False), "a/bbb": ("a/bbb", 10, "7d", ["latest"], False), "z": ("default", 10, "90d", ["latest"], False)}
 
 
