@@ -1,4 +1,7 @@
-"""``python -m lamella.cli VERB ROOT``: the store's questions asked of a bucket on a file system."""
+"""``python -m lamella.cli VERB ROOT``: the store's questions asked of a bucket.
+
+The master is that of spark-submit, or the local machine.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lamella.operators import catalog, policy, reach
 from lamella.session import session, written
-from lamella.sources import objects, settings, sinks
+from lamella.sources import objects, settings, sinks, transfer
 from lamella.sources.bucket import Bucket
+from lamella.sources.files import files
 
 
 def expired_tags(bucket: Bucket, manifest: DataFrame, now: str, config: str) -> DataFrame:
@@ -48,9 +52,9 @@ def clean_plan(bucket: Bucket, now: str, config: str = "config.yaml", cascade: b
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lamella", description=__doc__)
-    parser.add_argument("verb", choices=["list", "inspect", "stats", "classes", "sharing", "missing", "orphans", "policy", "clean", "cat", "delete", "config"])
+    parser.add_argument("verb", choices=["list", "inspect", "stats", "classes", "sharing", "missing", "orphans", "doctor", "policy", "signatures", "clean", "cat", "delete", "config", "copy", "push", "pull"])
     parser.add_argument("root")
-    parser.add_argument("rest", nargs="*", help="inspect, delete: image tag; cat: image tag path; config: key=value …")
+    parser.add_argument("rest", nargs="*", help="inspect, delete: image tag; cat: image tag path; config: key=value …; copy: target-root image tag [image tag]; push: source image tag; pull: image tag folder")
     parser.add_argument("--scope", default="", help="prefix of image names")
     parser.add_argument("--image", help="config: image pattern")
     parser.add_argument("--config", default="config.yaml")
@@ -58,21 +62,21 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--output", default="text", choices=["text", "json", "yaml"])
     parser.add_argument("--confirm", action="store_true", help="delete what a plan lists")
     parser.add_argument("--cascade", action="store_true")
+    parser.add_argument("--deep", action="store_true", help="doctor: also chunks and recipes")
+    parser.add_argument("--force", action="store_true", help="write or delete tags of immutable images")
     a = parser.parse_args(args)
     if a.verb == "config":
         import yaml
 
-        path = objects.safe_path(a.root, a.config)
-        held = objects.bucket_config(path)
+        held = objects.bucket_config(a.root, a.config)
         for pair in a.rest:
             key, _, value = pair.partition("=")
             held = settings.changed(held, key, value, a.image)
         if a.rest:
-            with open(path, "w", encoding="utf-8") as f:
-                yaml.safe_dump(held, f, sort_keys=True)
+            files(a.root).write(a.config, yaml.safe_dump(held, sort_keys=True).encode())
         print(yaml.safe_dump(held, sort_keys=True), end="")
         return 0
-    spark = session("lamella", "local[*]")
+    spark = session("lamella")
     bucket = Bucket(spark, a.root)
     now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
 
@@ -84,6 +88,18 @@ def main(args: list[str] | None = None) -> int:
         ids = own.where(F.size("manifests") == 0).select("manifest_id").unionByName(picked)
         return catalog.layer_rows(plain.join(ids, "manifest_id", "left_semi")).orderBy("pos")
 
+    if a.verb in ("copy", "push", "pull"):
+        if a.verb == "copy":
+            target, image, tag, *new = a.rest
+            counts = transfer.copy_image(spark, a.root, target, image, tag, *new, platform=a.platform if "--platform" in (args or sys.argv) else None, force=a.force)
+        elif a.verb == "push":
+            source, image, tag = a.rest
+            counts = transfer.push_image(spark, source, a.root, image, tag, config=a.config, force=a.force)
+        else:
+            image, tag, into = a.rest
+            counts = transfer.pull_image(spark, a.root, image, tag, into, a.platform)
+        print(sinks.render(spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts)), a.output))
+        return 0
     if a.verb == "cat":
         sys.stdout.buffer.write(bucket.cat([r["digest"] for r in chosen().collect()], a.rest[2]))
         return 0
@@ -92,9 +108,10 @@ def main(args: list[str] | None = None) -> int:
             plan = clean_plan(bucket, now, a.config, a.cascade)
         else:
             image, tag = a.rest
-            rule = policy.effective(spark.createDataFrame([(image,)], "image string"), bucket.rules(a.config)).first()
-            if rule["immutable"]:
-                print(f"{image} is immutable", file=sys.stderr)
+            try:
+                transfer.refuse_immutable(bucket, image, tag, a.config, a.force, existing=False)
+            except PermissionError as e:
+                print(e, file=sys.stderr)
                 return 1
             plan = written(bucket.keys(f"manifests/{image}/{tag}/").select("object_key", "size_bytes", F.lit("deleted").alias("reason")), "plan")
         print(sinks.render(plan, a.output))
@@ -103,12 +120,14 @@ def main(args: list[str] | None = None) -> int:
     manifest = bucket.manifest()
     made = {
         "list": lambda: catalog.list_images(manifest, a.scope).orderBy("image"),
-        "inspect": lambda: chosen().select("pos", "digest", "size_bytes", "media_type"),
+        "inspect": lambda: bucket.inspect(*a.rest),
         "stats": lambda: catalog.summary(manifest.where(F.coalesce(F.col("image").startswith(a.scope), F.lit(True))), bucket.object_listing()),
         "classes": lambda: catalog.by_storage_class(bucket.object_listing()),
         "sharing": lambda: catalog.layer_sharing(manifest, a.scope).orderBy(F.desc("n_tags"), F.desc("size_bytes"), "digest"),
         "missing": lambda: reach.missing(manifest, bucket.object_listing()).orderBy("image", "tag"),
         "orphans": lambda: reach.orphans(manifest, bucket.object_listing()).orderBy("kind", "digest"),
+        "doctor": lambda: bucket.doctor(a.scope, a.config, a.deep).orderBy("check", "image", "tag", "detail"),
+        "signatures": lambda: bucket.signatures().orderBy("image", "tag", "slug"),
         "policy": lambda: policy.effective(manifest, bucket.rules(a.config)).orderBy("image"),
     }[a.verb]()
     print(sinks.render(made, a.output))

@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from lamella.functions import names
 
 SCHEMA_VERSION = 2
+DOMAIN = "lamella-signature-v2"
 
 
-def verify(tags: DataFrame, signatures: DataFrame, bucket: str, check: Callable[[Column, Column, Column], Column], domain: str = "lamella-signature-v2") -> DataFrame:
+def payload_bytes(bucket: str, image: str, tag: str, digest: str, domain: str = DOMAIN) -> bytes:
+    """What a signature covers, as ``names.signing_payload`` puts it in a column."""
+    return f"{domain}\n{bucket}/{image}:{tag}\n{digest}\n".encode()
+
+
+def verify(tags: DataFrame, signatures: DataFrame, bucket: str, check: Callable[[Column, Column, Column], Column], domain: str = DOMAIN) -> DataFrame:
     """(image, tag, verified, reason); the first failure is the reason.
 
     ``tags``: (image, tag, digest). ``signatures``: (image, tag, schema_version, digest,

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import collections
+import concurrent.futures
 import hashlib
 import io
 import itertools
+import json
 import tarfile
 from collections.abc import Callable, Iterator
 
@@ -26,12 +29,15 @@ def entries_of(data: bytes) -> list[tuple]:
 
     Raises ValueError for bytes that are no tar; an empty input has no entries.
     """
-    return entries_of_file(io.BytesIO(data)) if data else []
+    return entries_of_file(io.BytesIO(data))
 
 
 def entries_of_file(file: io.IOBase) -> list[tuple]:
     """The same of a file that can seek, of which only headers are read."""
     out = []
+    if not file.read(1):
+        return out
+    file.seek(0)
     try:
         with tarfile.open(fileobj=file, mode="r:") as tar:
             for pos, m in enumerate(tar):
@@ -56,6 +62,7 @@ class ChunkedFile(io.RawIOBase):
         self.chunks, self.fetch = chunks, fetch
         self.ends = list(itertools.accumulate(size for _, size in chunks))
         self.at, self.held, self.data = 0, -1, b""
+        self.fetched: set[int] = set()
 
     def readable(self) -> bool:
         return True
@@ -83,6 +90,7 @@ class ChunkedFile(io.RawIOBase):
             if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
                 raise OSError(f"chunk {digest} is damaged")
             self.held, self.data = k, data
+            self.fetched.add(k)
         begin = self.at - (self.ends[k] - self.chunks[k][1])
         part = self.data[begin : begin + len(out)]
         out[: len(part)] = part
@@ -90,6 +98,60 @@ class ChunkedFile(io.RawIOBase):
         return len(part)
 
 
+def layer_file(store, recipe: dict) -> io.BufferedReader:
+    """The layer of a parsed recipe as a file over its stored chunks. ValueError if its parts do not add up."""
+    chunks = [(str(c["digest"]), int(c["size"])) for c in recipe["chunks"]]
+    if sum(size for _, size in chunks) != recipe["size"]:
+        raise ValueError("the recipe does not add up")
+    return io.BufferedReader(ChunkedFile(chunks, lambda digest: store.read(f"chunks/sha256/{digest}")))
+
+
+#: Frames read ahead of the one handed on.
+AHEAD = 4
+
+
+def frames(store, chunks: list[dict]) -> Iterator[bytes]:
+    """Stored frames of a recipe's chunks in order, a few read ahead. OSError for one of another length than listed."""
+    with concurrent.futures.ThreadPoolExecutor(AHEAD) as pool:
+        waiting: collections.deque = collections.deque()
+        rest = iter(chunks)
+        while True:
+            while len(waiting) < AHEAD and (chunk := next(rest, None)) is not None:
+                waiting.append((chunk, pool.submit(store.read, f"chunks/sha256/{chunk['digest']}")))
+            if not waiting:
+                return
+            chunk, frame = waiting.popleft()
+            data = frame.result()
+            if chunk.get("compressedSize") is not None and len(data) != chunk["compressedSize"]:
+                raise OSError(f"chunk {chunk['digest']} has {len(data)} bytes, not {chunk['compressedSize']}")
+            yield data
+
+
+def index_of(layer: io.IOBase, digest: str) -> bytes | None:
+    """The stored form of a layer's file index; None for a layer that is no tar or has no files."""
+    try:
+        entries = entries_of_file(layer)
+    except ValueError:
+        return None
+    # Fixed names of the stored form; zero and absent values are left out
+    rows = [{"path": path, "offset": offset, "size": size, "link": link, "linkType": link_type} for _, path, offset, size, link, link_type in entries]
+    held = [{k: v for k, v in row.items() if v or k == "path"} for row in rows]
+    return zstandard.ZstdCompressor(level=3).compress(json.dumps({"layer": digest, "files": held}).encode()) if held else None
+
+
+def indexed_entries(stored: bytes) -> tuple[str, list[tuple]]:
+    """(layer, entries as ``entries_of`` gives them) of a stored file index. ValueError for bytes that are none."""
+    try:
+        found = json.loads(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(stored), read_across_frames=True).read())
+        out = []
+        for pos, f in enumerate(found["files"]):
+            link = f.get("link") or None
+            out.append((pos, normal(f["path"]), None if link else int(f.get("offset") or 0), int(f.get("size") or 0), link, f.get("linkType", "symbolic") if link else None))
+        return str(found["layer"]), out
+    except (zstandard.ZstdError, KeyError, TypeError, AttributeError) as e:
+        raise ValueError("not a file index") from e
+
+
 def tar_entries(layers: DataFrame, layer_id: str, content: str) -> DataFrame:
     """Entries of every layer; ``state`` is ok, or says on one row why there are none.
 
@@ -101,6 +163,7 @@ def tar_entries(layers: DataFrame, layer_id: str, content: str) -> DataFrame:
             rows = []
             for key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if data is None:
+                    rows.append((key, None, None, None, None, None, None, "no content"))
                     continue
                 if data[:2] == b"\x1f\x8b" or data[:4] == b"\x28\xb5\x2f\xfd":
                     rows.append((key, None, None, None, None, None, None, "compressed"))

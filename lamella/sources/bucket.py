@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import json
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions import names
-from lamella.operators import overlay
+from lamella.operators import catalog, overlay, reach, recipes, signing
 from lamella.session import written
 from lamella.sources import archives, objects
+from lamella.sources.files import blocks, files
 
 _PLATFORM = "struct<os:string,architecture:string,variant:string>"
 _DESCRIPTOR = "struct<media_type:string,digest:string,size_bytes:bigint>"
@@ -24,37 +28,64 @@ def _refuse(bad: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {', '.join(some)}")
 
 
-def open_layer(root: str, digest: str | None) -> io.BufferedIOBase:
-    """A layer as a file, through the chunks of its recipe or from its blob.
+def layer_of(root: str, digest: str | None) -> tuple[io.BufferedIOBase, dict | None]:
+    """A layer as a file, and its recipe if it is held as chunks.
 
-    OSError for a layer that is neither, or whose recipe or content is damaged.
+    OSError for a layer that is neither blob nor recipe, or whose recipe or content is damaged.
     """
     if digest is None:
         raise OSError("no well-formed digest")
+    store = files(root)
     try:
-        with open(objects.safe_path(root, f"recipes/sha256/{digest}"), "rb") as f:
-            body = f.read()
+        body = store.read(f"recipes/sha256/{digest}")
     except FileNotFoundError:
-        blob = open(objects.safe_path(root, f"blobs/sha256/{digest}"), "rb")
-        if hashlib.file_digest(blob, "sha256").hexdigest() != digest:
+        blob = store.open(f"blobs/sha256/{digest}")
+        whole = hashlib.sha256()
+        for block in blocks(blob):
+            whole.update(block)
+        if whole.hexdigest() != digest:
             blob.close()
             raise OSError(f"blob {digest} is damaged") from None
         blob.seek(0)
-        return blob
-
-    def fetch(chunk: str) -> bytes:
-        with open(objects.safe_path(root, f"chunks/sha256/{chunk}"), "rb") as f:
-            return f.read()
-
+        return blob, None
     try:
         recipe = json.loads(body)
-        chunks = [(str(c["digest"]), int(c["size"])) for c in recipe["chunks"]]
-        whole = sum(size for _, size in chunks) == recipe["size"]
+        return archives.layer_file(store, recipe), recipe
     except (ValueError, TypeError, KeyError) as e:
-        raise OSError(f"recipe {digest} cannot be parsed") from e
-    if not whole:
-        raise OSError(f"recipe {digest} does not add up")
-    return io.BufferedReader(archives.ChunkedFile(chunks, fetch))
+        raise OSError(f"recipe {digest} cannot be used: {e}") from e
+
+
+def entries_of_layer(root: str, digest: str | None) -> tuple[str, list[tuple]]:
+    """(state, entries) of a layer, from its file index if it has one: no chunk is read then."""
+    try:
+        try:
+            stored = files(root).read(f"indexes/sha256/{digest}") if digest else None
+        except FileNotFoundError:
+            stored = None
+        if stored is not None:
+            files(root).open(f"recipes/sha256/{digest}").close()  # an index alone is no layer
+            return "ok", archives.indexed_entries(stored)[1]
+        layer, _ = layer_of(root, digest)
+        with layer:
+            head = layer.read(4)
+            layer.seek(0)
+            if head[:2] == b"\x1f\x8b" or head == b"\x28\xb5\x2f\xfd":
+                return "compressed", []
+            return "ok", archives.entries_of_file(layer) if head else []
+    except OSError as e:
+        return f"cannot be read: {e}", []
+    except ValueError:
+        return "not a tar", []
+
+
+class Found(NamedTuple):
+    """A file of an image: its bytes, the layer that shows it, and what reading it took."""
+
+    data: bytes
+    layer: str
+    indexed: bool
+    chunks_fetched: int
+    chunks_total: int
 
 
 class Bucket:
@@ -82,15 +113,15 @@ class Bucket:
             "object_key", "valid",
         )
 
-    def manifest(self, strict: bool = False) -> DataFrame:
-        """Manifests of tags and, level by level, those that indexes list among the blobs.
+    def manifest(self, strict: bool = False, scope: str = "") -> DataFrame:
+        """Manifests of tags under ``scope`` and, level by level, those that indexes list among the blobs.
 
         ``strict``: ValueError for one that is missing or cannot be read or parsed, as
         what it keeps alive is unknown. Else it is a row without references.
         """
         listed = written(self.keys(), "keys")
         times = listed.select("object_key", F.col("last_modified").alias("stored_at"))
-        found = written(self._parsed(listed.where(F.col("object_key").rlike(r"^manifests/.+/[^/]+/manifest\.json\z"))), "manifests")
+        found = written(self._parsed(listed.where(F.col("object_key").rlike(r"^manifests/.+/[^/]+/manifest\.json\z") & F.col("object_key").startswith(f"manifests/{scope}"))), "manifests")
         every, front = found, found
         while True:
             if strict:
@@ -110,14 +141,18 @@ class Bucket:
         """ValueError if a recipe of a layer in ``live`` (kind, digest) could not be read or parsed."""
         _refuse(recipe.where("not valid").join(live.select(F.col("digest").alias("compressed_digest")), "compressed_digest", "left_semi"), "recipes that cannot be read or parsed")
 
+    def config(self, name: str = "config.yaml") -> dict:
+        return objects.bucket_config(self.root, name)
+
     def rules(self, name: str = "config.yaml") -> DataFrame:
-        return objects.config_rules(self.spark, objects.bucket_config(objects.safe_path(self.root, name)))
+        return objects.config_rules(self.spark, self.config(name))
 
     def layer_entries(self, order: DataFrame) -> DataFrame:
         """Tar entries of the layers in ``order`` (layer_pos, digest), as ``archives.tar_entries``.
 
-        A layer is held as recipe and chunks or as a blob of any size. One that is
-        missing, damaged, compressed or no tar has one row, whose ``state`` says so.
+        A layer is held as recipe and chunks or as a blob of any size; a file index is
+        taken instead where there is one. A layer that is missing, damaged, compressed or
+        no tar has one row, whose ``state`` says so.
         """
         root = self.root
 
@@ -128,26 +163,41 @@ class Bucket:
             names = ["id", "entry_pos", "path", "offset", "size", "link", "link_type", "state"]
             for batch in batches:
                 for pos, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    try:
-                        with open_layer(root, digest) as f:
-                            head = f.read(4)
-                            f.seek(0)
-                            packed = head[:2] == b"\x1f\x8b" or head == b"\x28\xb5\x2f\xfd"
-                            rows = [(pos, *[None] * 6, "compressed")] if packed else [(pos, *entry, "ok") for entry in (archives.entries_of_file(f) if head else [])]
-                    except OSError as e:
-                        rows = [(pos, *[None] * 6, f"cannot be read: {e}")]
-                    except ValueError:
-                        rows = [(pos, *[None] * 6, "not a tar")]
+                    state, entries = entries_of_layer(root, digest)
+                    rows = [(pos, *entry, state) for entry in entries] if state == "ok" else [(pos, *[None] * 6, state)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
         return order.select(F.col("layer_pos").cast("bigint").alias("id"), "digest").mapInArrow(run, archives.ENTRY_SCHEMA)
 
-    def cat(self, layer_digests: list[str], path: str) -> bytes:
-        """Content of one file of an image given by its layers, lowest first.
+    def file_index(self) -> DataFrame:
+        """(compressed_digest, layer, path, offset, size, link, link_type, entry_pos, state) of all stored file indexes."""
+        root = self.root
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    digest = key.rpartition("/")[2]
+                    try:
+                        layer, entries = archives.indexed_entries(files(root).read(key))
+                        rows = [(digest, layer, path, offset, size, link, kind, pos, "ok") for pos, path, offset, size, link, kind in entries]
+                    except (OSError, ValueError) as e:
+                        rows = [(digest, *[None] * 7, f"cannot be read: {e}")]
+                    columns = list(zip(*rows, strict=True)) or [[]] * 9
+                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["compressed_digest", "layer", "path", "offset", "size", "link", "link_type", "entry_pos", "state"])
+
+        schema = "compressed_digest string, layer string, path string, offset bigint, size bigint, link string, link_type string, entry_pos bigint, state string"
+        return self.keys("indexes/sha256/").select("object_key").mapInArrow(run, schema)
+
+    def find(self, layer_digests: list[str], path: str) -> Found:
+        """One file of an image given by its layers, lowest first.
 
         FileNotFoundError if the image does not show the path; ValueError if a layer is
-        missing, damaged, compressed or no tar, as the path may then be in it. Of a
-        layer held as chunks, only those of tar headers and of the file are read.
+        missing, damaged, compressed or no tar, as the path may then be in it, or if an
+        index places the file outside its layer. Of a layer held as chunks, only those
+        of the file are read, and those of tar headers if it has no file index.
         """
         order = self.spark.createDataFrame([(k, d) for k, d in enumerate(layer_digests)], "layer_pos int, digest string")
         entries = written(self.layer_entries(order), "entries")
@@ -160,6 +210,102 @@ class Bucket:
             raise FileNotFoundError(f"{path}: {target['state']}")
         at = seen.where(F.col("path") == target["target"]).first()["layer_pos"]
         entry = entries.where((F.col("id") == at) & (F.col("path") == target["target"])).orderBy(F.desc("entry_pos")).first()
-        with open_layer(self.root, layer_digests[at]) as f:
-            f.seek(entry["offset"])
-            return f.read(entry["size"])
+        digest = layer_digests[at]
+        try:
+            layer, recipe = layer_of(self.root, digest)
+            with layer:
+                if recipe is not None and not 0 <= entry["offset"] <= entry["offset"] + entry["size"] <= recipe["size"]:
+                    raise ValueError(f"layer {at}: its index places {target['target']} outside of it")
+                layer.seek(entry["offset"])
+                data = layer.read(entry["size"])
+                fetched = len(layer.raw.fetched) if recipe is not None else 0
+        except OSError as e:
+            raise ValueError(f"layer {at}: cannot be read: {e}") from e
+        return Found(data, digest, files(self.root).exists(f"indexes/sha256/{digest}"), fetched, len(recipe["chunks"]) if recipe is not None else 0)
+
+    def cat(self, layer_digests: list[str], path: str) -> bytes:
+        """Content of one file of an image, as ``find`` finds it."""
+        return self.find(layer_digests, path).data
+
+    def signatures(self) -> DataFrame:
+        """(image, tag, slug, valid, schema_version, digest, key_ref, key_id, algorithm, signature, signed_at) of all records."""
+        at = r"^manifests/(.+)/([^/]+)/signatures/([^/]+)\.json\z"
+        keys = self.keys("manifests/").where(F.col("object_key").rlike(at))
+        read = objects.with_json(keys, self.root, "schemaVersion int, digest string, keyRef string, keyID string, algorithm string, signature string, signedAt string")
+        place = [F.regexp_extract("object_key", at, k + 1).alias(n) for k, n in enumerate(("image", "tag", "slug"))]
+        r = F.col("parsed")
+        return read.select(*place, "valid", r["schemaVersion"].alias("schema_version"), r["digest"].alias("digest"), r["keyRef"].alias("key_ref"), r["keyID"].alias("key_id"), r["algorithm"].alias("algorithm"), r["signature"].alias("signature"), r["signedAt"].alias("signed_at"))
+
+    def sign(self, image: str, tag: str, bucket: str, key_ref: str, der: bytes, algorithm: str, signer: Callable[[bytes], bytes], now: str) -> str:
+        """Store a signature of a tag's manifest and its place; returns the record's key.
+
+        ``signer`` signs bytes, ``der`` is the public key it belongs to, which names the record.
+        """
+        digest = "sha256:" + hashlib.sha256(files(self.root).read(f"manifests/{image}/{tag}/manifest.json")).hexdigest()
+        slug = hashlib.sha256(der).hexdigest()[:16]
+        payload = signing.payload_bytes(bucket, image, tag, digest)
+        record = {"schemaVersion": signing.SCHEMA_VERSION, "digest": digest, "keyRef": key_ref, "keyID": slug, "algorithm": algorithm, "signature": base64.b64encode(signer(payload)).decode(), "signedAt": now}
+        key = f"manifests/{image}/{tag}/signatures/{slug}.json"
+        files(self.root).write(key, json.dumps(record).encode())
+        return key
+
+    def inspect(self, image: str, tag: str) -> DataFrame:
+        """(platform, manifest, pos, digest, size_bytes, media_type) of a tag's layers, by platform in the index's order.
+
+        ValueError if the tag, or a manifest it lists, is missing or cannot be read.
+        """
+        every = self.manifest(strict=True, scope=f"{image}/{tag}/")
+        plain = catalog.plain_manifests(every)
+        own = plain.where((F.col("image") == image) & (F.col("tag") == tag))
+        if own.isEmpty():
+            raise ValueError(f"no tag {image}:{tag}")
+        listed = own.select(F.posexplode("manifests").alias("place", "x")).select("place", names.platform_text(F.col("x.platform")).alias("platform"), F.col("x.digest").alias("digest"))
+        children = listed.join(catalog.newest_manifests(plain).select("digest", "manifest_id"), "digest")
+        single = own.where(F.size("manifests") == 0).select(F.col("digest"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("platform"), "manifest_id")
+        chosen = single.unionByName(children)
+        rows = catalog.layer_rows(plain).join(chosen.select("manifest_id", "place", "platform", F.col("digest").alias("manifest")), "manifest_id")
+        return rows.orderBy("place", "pos").select("platform", "manifest", "pos", "digest", "size_bytes", "media_type")
+
+    def unreadable(self) -> DataFrame:
+        """(object_key, image, tag): manifests of tags that cannot be read or parsed."""
+        keys = self.keys("manifests/").where(F.col("object_key").endswith("/manifest.json"))
+        return objects.with_json(keys, self.root, objects.MANIFEST_SCHEMA).where("not valid").select("object_key", names.image_of_key(F.col("object_key")).alias("image"), names.tag_of_key(F.col("object_key")).alias("tag"))
+
+    def doctor(self, scope: str = "", config: str = "config.yaml", deep: bool = False) -> DataFrame:
+        """(check, image, tag, detail): everything wrong with the bucket; no row, no fault.
+
+        Checks: layout (nothing stored), config (unusable), manifest (of a tag, cannot be
+        read or parsed), missing (a digest a tag refers to, neither blob nor recipe),
+        orphan (a blob or recipe no tag refers to). Manifests and missing things are those
+        of images under ``scope``; orphans are the whole bucket's. ``deep`` (an extension)
+        adds chunk (of a stored recipe, not stored) and recipe (unusable, or its parts do
+        not add up). FileNotFoundError for a bucket that is not there.
+        """
+        spark = self.spark
+        if not files(self.root).reachable():
+            raise FileNotFoundError(self.root)
+        listing = self.object_listing()
+        manifest = self.manifest()
+        first = []
+        if self.keys("manifests/").isEmpty() and self.keys("blobs/").isEmpty():
+            first.append(("layout", None, None, "no manifests and no blobs"))
+        try:
+            self.config(config)
+        except (OSError, ValueError) as e:
+            first.append(("config", None, None, str(e)))
+        found = spark.createDataFrame(first, "check string, image string, tag string, detail string")
+        scoped = F.col("image").startswith(scope)
+        parts = [
+            self.unreadable().where(scoped).select(F.lit("manifest").alias("check"), "image", "tag", F.col("object_key").alias("detail")),
+            reach.missing_references(manifest, listing).where(scoped).select(F.lit("missing").alias("check"), "image", "tag", F.col("digest").alias("detail")),
+            reach.orphans(manifest, listing).select(F.lit("orphan").alias("check"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("tag"), F.concat_ws("/", "kind", F.lit("sha256"), "digest").alias("detail")),
+        ]
+        if deep:
+            recipe = written(self.recipe(), "recipes")
+            none = [F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("tag")]
+            bad = recipe.join(recipes.consistency(recipe).select("recipe_id", "consistent"), "recipe_id").where("not (valid and consistent)")
+            parts.append(reach.missing_chunks(recipe, listing).select(F.lit("chunk").alias("check"), *none, F.concat_ws(" of ", "digest", "layer").alias("detail")))
+            parts.append(bad.select(F.lit("recipe").alias("check"), *none, F.col("object_key").alias("detail")))
+        for p in parts:
+            found = found.unionByName(p)
+        return found

@@ -9,51 +9,42 @@ folders under the prefix, so it runs on executors.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator, Sequence
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lamella.sources.files import LocalFiles, files, local_path, require_shared
+
 SCHEMA = "object_key string, size_bytes bigint, last_modified timestamp, storage_class string"
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool) -> None:
-        self.path, self.deep = path, deep
+    def __init__(self, prefix: str, deep: bool) -> None:
+        self.prefix, self.deep = prefix, deep
 
 
 class _Reader(DataSourceReader):
     def __init__(self, root: str, prefix: str, spread: int) -> None:
-        self.root, self.prefix, self.spread = os.path.abspath(root), prefix, spread
+        self.root, self.prefix, self.spread = root, prefix, spread
 
     def partitions(self) -> Sequence[InputPartition]:
         # a prefix may end inside a name, so the walk starts at its last whole folder
-        start = os.path.join(self.root, os.path.dirname(self.prefix))
-        if not os.path.isdir(start):
-            return [_Folder(start, False)]
+        start = self.prefix[: self.prefix.rfind("/") + 1]
         level, shallow = [start], []
         for _ in range(3):
-            if len(level) >= self.spread:
+            below = [f for p in level for f in files(self.root).folders(p)]
+            if len(level) >= self.spread or not below:
                 break
             shallow += level
-            level = sorted(e.path for p in level for e in os.scandir(p) if e.is_dir(follow_symlinks=False))
+            level = [f for f in below if f.startswith(self.prefix) or self.prefix.startswith(f)]
         return [*(_Folder(p, False) for p in shallow), *(_Folder(p, True) for p in level)] or [_Folder(start, False)]
 
     def read(self, part: _Folder) -> Iterator[tuple]:
-        if not os.path.isdir(part.path):
-            return
-        for folder, folders, files in os.walk(part.path):
-            if not part.deep:
-                folders.clear()
-            for name in sorted(files):
-                path = os.path.join(folder, name)
-                key = os.path.relpath(path, self.root).replace(os.sep, "/")
-                if key.startswith(self.prefix):
-                    info = os.stat(path)
-                    yield key, info.st_size, datetime.fromtimestamp(info.st_mtime, UTC), "STANDARD"
+        for key, size, modified in files(self.root).listed(part.prefix, part.deep):
+            if key.startswith(self.prefix):
+                yield key, size, modified, "STANDARD"
 
 
 class ObjectSource(DataSource):
@@ -71,17 +62,14 @@ class ObjectSource(DataSource):
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    require_shared(spark, root)
     spark.dataSource.register(ObjectSource)
     return spark.read.format("objects").option("prefix", prefix).load(root)
 
 
 def safe_path(root: str, key: str) -> str:
-    """Path of a key under a root; ValueError if the key leads outside."""
-    base = os.path.realpath(root)
-    path = os.path.realpath(os.path.join(base, key))
-    if path != base and not path.startswith(base + os.sep):
-        raise ValueError(f"{key!r} leads outside {root!r}")
-    return path
+    """Path of a key under a local root; ValueError if the key leads outside."""
+    return LocalFiles(local_path(root) or root)._path(key)
 
 
 #: Most bytes of one value.
@@ -90,14 +78,6 @@ MOST = (1 << 31) - 1
 HELD = 64 << 20
 
 
-def with_content(objects: DataFrame, root: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """(object_key, content) of small objects, read on the executors that hold the keys.
-
-    Content is null for an object that is gone or larger than ``most_bytes``.
-    """
-    return _read(objects, root, most_bytes).drop("whole")
-
-
 def with_json(objects: DataFrame, root: str, schema: str) -> DataFrame:
     """(object_key, content, valid, parsed) of objects that refer to others.
 
@@ -105,7 +85,7 @@ def with_json(objects: DataFrame, root: str, schema: str) -> DataFrame:
     twice or has a field of another type than ``schema``; what such an object refers to
     is unknown, not nothing. Its ``parsed`` is null.
     """
-    read = _read(objects, root, MOST)
+    read = _read(objects, root)
     parsed = F.from_json(F.when(F.col("whole"), F.col("content").cast("string")), schema + ", _corrupt_record string").alias("p")
     valid = F.col("whole") & F.col("p._corrupt_record").isNull()
     rows = read.select("object_key", "content", "whole", parsed).select("object_key", "content", valid.alias("valid"), F.when(valid, F.col("p")).alias("parsed"))
@@ -129,17 +109,18 @@ def is_object(data: bytes | None) -> bool:
         return False
 
 
-def _read(objects: DataFrame, root: str, most_bytes: int) -> DataFrame:
-    """(object_key, content, whole): ``whole`` tells content that is a JSON object."""
+def _read(objects: DataFrame, root: str) -> DataFrame:
+    """(object_key, content, whole): ``whole`` tells content that is a JSON object.
+
+    An object that is gone, cannot be read or is too large for one value has null content.
+    """
 
     def content(key: str) -> bytes | None:
         try:
-            path = safe_path(root, key)
-            if os.path.getsize(path) > most_bytes:
-                return None
-            with open(path, "rb") as f:
-                return f.read()
-        except OSError:
+            with files(root).open(key) as f:
+                data = f.read(MOST + 1)
+            return data if len(data) <= MOST else None
+        except (OSError, ValueError):
             return None
 
     def run(batches):
@@ -193,17 +174,18 @@ def recipes(spark: SparkSession, root: str) -> DataFrame:
     return read.select(F.coalesce(keyed, "r.compressedDigest").alias("compressed_digest"), "r.layer", F.col("r.size").alias("size_bytes"), F.when(raw, F.col("r.size")).otherwise(F.col("r.compressedSize")).alias("compressed_size"), F.transform("r.chunks", lambda c: F.struct(c["digest"].alias("digest"), c["size"].alias("size_bytes"), c["compressedSize"].alias("compressed_size"))).alias("chunks"), "object_key", "valid")
 
 
-def bucket_config(path: str) -> dict:
-    """YAML configuration of a bucket; {} where there is none."""
+def bucket_config(root: str, name: str = "config.yaml") -> dict:
+    """YAML configuration of a bucket; {} where there is none. ValueError if it is no mapping."""
     import yaml
 
     try:
-        with open(path, encoding="utf-8") as f:
-            found = yaml.safe_load(f) or {}
+        found = yaml.safe_load(files(root).read(name)) or {}
     except FileNotFoundError:
         return {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"{name} cannot be parsed") from e
     if not isinstance(found, dict):
-        raise ValueError(f"{path}: not a mapping")
+        raise ValueError(f"{name} is not a mapping")
     return found
 
 

@@ -227,7 +227,7 @@ def test_tar_and_zstd(spark):
     assert [(r["path"], r["size"], r["link"], r["link_type"]) for r in rows if r["id"] == 1] == [("a/b.txt", 5, None, None), ("c", 0, None, None), ("s", 0, "a/b.txt", "symbolic"), ("d/h", 0, "/a/b.txt", "hard")]
     start = next(r["offset"] for r in rows if r["path"] == "a/b.txt")
     assert data[start : start + 5] == b"hello"
-    assert {r["id"]: r["state"] for r in rows if r["id"] > 1} == {2: "not a tar", 3: "compressed"}
+    assert {r["id"]: r["state"] for r in rows if r["id"] > 1} == {2: "not a tar", 3: "compressed", 4: "no content"}
     back = df.select("id", archives.zstd_decompress(F.concat(archives.zstd_compress("content"), archives.zstd_compress("content"))).alias("c"), archives.zstd_decompress("content").alias("bad"))
     got = {r["id"]: r for r in back.collect()}
     assert bytes(got[1]["c"]) == data * 2 and got[2]["bad"] is None and got[4]["c"] is None
@@ -253,9 +253,9 @@ def test_rendering(spark):
 def test_config_rules(spark, tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("default:\n  lifecycle: {keep_last: 10, max_age: 90d}\nimages:\n  a/*:\n    immutable: true\n")
-    rows = {r["image_pattern"]: tuple(r)[1:] for r in objects.config_rules(spark, objects.bucket_config(str(p))).collect()}
+    rows = {r["image_pattern"]: tuple(r)[1:] for r in objects.config_rules(spark, objects.bucket_config(str(tmp_path), "c.yaml")).collect()}
     assert rows == {"default": (10, "90d", None, None), "a/*": (None, None, None, True)}
-    assert objects.bucket_config(str(tmp_path / "none")) == {}
+    assert objects.bucket_config(str(tmp_path), "none") == {}
 
 
 def test_streamed_reference_counts(spark, tmp_path):
