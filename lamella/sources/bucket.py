@@ -95,9 +95,9 @@ class Bucket:
     def keys(self, prefix: str = "") -> DataFrame:
         return objects.list_objects(self.spark, self.root, prefix)
 
-    def object_listing(self) -> DataFrame:
+    def object_listing(self, listed: DataFrame | None = None) -> DataFrame:
         """Rows in the form of the ``object_listing`` table; everything listed is live."""
-        return self.keys().select(F.xxhash64("object_key").alias("listing_id"), "*", F.lit(None).cast("timestamp").alias("deleted_at"))
+        return (self.keys() if listed is None else listed).select(F.xxhash64("object_key").alias("listing_id"), "*", F.lit(None).cast("timestamp").alias("deleted_at"))
 
     def _parsed(self, keys: DataFrame) -> DataFrame:
         read = objects.with_json(keys, self.root, objects.MANIFEST_SCHEMA)
@@ -113,13 +113,13 @@ class Bucket:
             "object_key", "valid",
         )
 
-    def manifest(self, strict: bool = False, scope: str = "") -> DataFrame:
+    def manifest(self, strict: bool = False, scope: str = "", listed: DataFrame | None = None) -> DataFrame:
         """Manifests of tags under ``scope`` and, level by level, those that indexes list among the blobs.
 
         ``strict``: ValueError for one that is missing or cannot be read or parsed, as
         what it keeps alive is unknown. Else it is a row without references.
         """
-        listed = written(self.keys(), "keys")
+        listed = written(self.keys(), "keys") if listed is None else listed
         times = listed.select("object_key", F.col("last_modified").alias("stored_at"))
         found = written(self._parsed(listed.where(F.col("object_key").rlike(r"^manifests/.+/[^/]+/manifest\.json\z") & F.col("object_key").startswith(f"manifests/{scope}"))), "manifests")
         every, front = found, found
@@ -134,8 +134,8 @@ class Bucket:
                 return every.join(times, "object_key").drop("object_key", "valid")
             every = every.unionByName(front)
 
-    def recipe(self) -> DataFrame:
-        return objects.recipes(self.spark, self.root).withColumn("recipe_id", F.xxhash64("compressed_digest", "layer"))
+    def recipe(self, listed: DataFrame | None = None) -> DataFrame:
+        return objects.recipes(self.spark, self.root, listed).withColumn("recipe_id", F.xxhash64("compressed_digest", "layer"))
 
     def check_recipes(self, recipe: DataFrame, live: DataFrame) -> None:
         """ValueError if a recipe of a layer in ``live`` (kind, digest) could not be read or parsed."""
@@ -266,9 +266,9 @@ class Bucket:
         rows = catalog.layer_rows(plain).join(chosen.select("manifest_id", "place", "platform", F.col("digest").alias("manifest")), "manifest_id")
         return rows.orderBy("place", "pos").select("platform", "manifest", "pos", "digest", "size_bytes", "media_type")
 
-    def unreadable(self) -> DataFrame:
+    def unreadable(self, listed: DataFrame | None = None) -> DataFrame:
         """(object_key, image, tag): manifests of tags that cannot be read or parsed."""
-        keys = self.keys("manifests/").where(F.col("object_key").endswith("/manifest.json"))
+        keys = (self.keys("manifests/") if listed is None else listed.where(F.col("object_key").startswith("manifests/"))).where(F.col("object_key").endswith("/manifest.json"))
         return objects.with_json(keys, self.root, objects.MANIFEST_SCHEMA).where("not valid").select("object_key", names.image_of_key(F.col("object_key")).alias("image"), names.tag_of_key(F.col("object_key")).alias("tag"))
 
     def doctor(self, scope: str = "", config: str = "config.yaml", deep: bool = False) -> DataFrame:
@@ -284,10 +284,11 @@ class Bucket:
         spark = self.spark
         if not files(self.root).reachable():
             raise FileNotFoundError(self.root)
-        listing = self.object_listing()
-        manifest = self.manifest()
+        listed = written(self.keys(), "keys")  # one listing serves all checks
+        listing = self.object_listing(listed)
+        manifest = self.manifest(listed=listed)
         first = []
-        if self.keys("manifests/").isEmpty() and self.keys("blobs/").isEmpty():
+        if listed.where("object_key like 'manifests/%' or object_key like 'blobs/%'").isEmpty():
             first.append(("layout", None, None, "no manifests and no blobs"))
         try:
             self.config(config)
@@ -296,12 +297,12 @@ class Bucket:
         found = spark.createDataFrame(first, "check string, image string, tag string, detail string")
         scoped = F.col("image").startswith(scope)
         parts = [
-            self.unreadable().where(scoped).select(F.lit("manifest").alias("check"), "image", "tag", F.col("object_key").alias("detail")),
+            self.unreadable(listed).where(scoped).select(F.lit("manifest").alias("check"), "image", "tag", F.col("object_key").alias("detail")),
             reach.missing_references(manifest, listing).where(scoped).select(F.lit("missing").alias("check"), "image", "tag", F.col("digest").alias("detail")),
             reach.orphans(manifest, listing).select(F.lit("orphan").alias("check"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("tag"), F.concat_ws("/", "kind", F.lit("sha256"), "digest").alias("detail")),
         ]
         if deep:
-            recipe = written(self.recipe(), "recipes")
+            recipe = written(self.recipe(listed), "recipes")
             none = [F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("tag")]
             bad = recipe.join(recipes.consistency(recipe).select("recipe_id", "consistent"), "recipe_id").where("not (valid and consistent)")
             parts.append(reach.missing_chunks(recipe, listing).select(F.lit("chunk").alias("check"), *none, F.concat_ws(" of ", "digest", "layer").alias("detail")))

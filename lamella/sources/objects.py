@@ -162,14 +162,15 @@ def manifests(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     return read.select(names.image_of_key(F.col("object_key")).alias("image"), names.tag_of_key(F.col("object_key")).alias("tag"), digest.alias("digest"), "valid", F.col("parsed").alias("m")).select("image", "tag", "digest", "valid", "m.*")
 
 
-def recipes(spark: SparkSession, root: str) -> DataFrame:
+def recipes(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
     """Recipe rows of a bucket with their key and whether they could be parsed.
 
     A layer is resolved by the recipe's key, so that is its compressed digest; a recipe
     without one of its own is that of a raw layer.
     """
     keyed = F.nullif(F.regexp_extract("object_key", r"^recipes/sha256/([0-9a-f]{64})\z", 1), F.lit(""))
-    read = with_json(list_objects(spark, root, "recipes/"), root, RECIPE_SCHEMA).select("object_key", "valid", F.col("parsed").alias("r"))
+    keys = list_objects(spark, root, "recipes/") if listed is None else listed.where(F.col("object_key").startswith("recipes/"))
+    read = with_json(keys, root, RECIPE_SCHEMA).select("object_key", "valid", F.col("parsed").alias("r"))
     raw = F.col("r.compressedDigest").isNull()
     return read.select(F.coalesce(keyed, "r.compressedDigest").alias("compressed_digest"), "r.layer", F.col("r.size").alias("size_bytes"), F.when(raw, F.col("r.size")).otherwise(F.col("r.compressedSize")).alias("compressed_size"), F.transform("r.chunks", lambda c: F.struct(c["digest"].alias("digest"), c["size"].alias("size_bytes"), c["compressedSize"].alias("compressed_size"))).alias("chunks"), "object_key", "valid")
 

