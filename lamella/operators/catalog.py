@@ -104,22 +104,23 @@ def references(manifests: DataFrame) -> DataFrame:
     return manifests.select("manifest_id", F.explode(every).alias("e")).select("manifest_id", "e.*").where(F.col("child").isNotNull())
 
 
-def attested(platform: Column) -> Column:
-    """Is an index entry of this platform an attestation? One without a platform is none."""
-    return platform.isNotNull() & F.coalesce(platform["os"], F.lit("")).isin("", "unknown")
+def edge_table(manifests: DataFrame) -> DataFrame:
+    """``references``, written once for all that walks them: the nested lists are read a single time."""
+    return written(references(manifests), "edges")
 
 
-def tag_manifests(tags: DataFrame, manifests: DataFrame, attestations: bool = True) -> DataFrame:
+def tag_manifests(tags: DataFrame, manifests: DataFrame, attestations: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """(image, tag, manifest_id): every tag's manifest and, level by level, those below.
 
     Each manifest counts once for a tag however often it is listed, so shared ones are
     walked once and a cycle ends. ``attestations``: also walk such entries of an index.
+    ``edges``: the references of ``manifests``, if they are at hand.
     """
-    listed = manifests.select("manifest_id", F.explode("manifests").alias("x")).where("x.digest is not null")
+    listed = (references(manifests) if edges is None else edges).where("kind = 'manifest'")
     if not attestations:
-        listed = listed.where(~attested(F.col("x.platform")))
+        listed = listed.where("not (has_platform and coalesce(platform_os, '') in ('', 'unknown'))")
     by_digest = splittable(newest_manifests(manifests.select("digest", "manifest_id", "stored_at")).select("digest", F.col("manifest_id").alias("child_id")))
-    links = written(listed.select("manifest_id", F.col("x.digest").alias("digest")).distinct().join(by_digest, "digest").select("manifest_id", "child_id").distinct(), "links")
+    links = written(listed.select("manifest_id", F.col("child").alias("digest")).distinct().join(by_digest, "digest").select("manifest_id", "child_id").distinct(), "links")
     front = written(tags.select("image", "tag", "manifest_id"), "front")
     walked, below = front, None
     for _ in range(MAX_DEPTH):
@@ -138,8 +139,9 @@ def tag_references(manifest: DataFrame) -> DataFrame:
     manifests count at each occurrence.
     """
     manifests = plain_manifests(manifest)
-    walked = tag_manifests(current_tags(manifest), manifests)
-    return walked.join(references(manifests), "manifest_id").drop("manifest_id")
+    edges = edge_table(manifests)
+    walked = tag_manifests(current_tags(manifest), manifests, edges=edges)
+    return walked.join(edges, "manifest_id").drop("manifest_id")
 
 
 def tag_sizes(manifest: DataFrame) -> DataFrame:
@@ -167,8 +169,9 @@ def by_storage_class(object_listing: DataFrame) -> DataFrame:
 
 def _tag_layers(manifest: DataFrame, prefix: str) -> DataFrame:
     manifests = plain_manifests(manifest)
-    walked = tag_manifests(current_tags(manifest).where(F.col("image").startswith(prefix)), manifests, attestations=False)
-    layers = layer_rows(manifests).where("digest is not null").select("manifest_id", "digest", "size_bytes")
+    edges = edge_table(manifests)
+    walked = tag_manifests(current_tags(manifest).where(F.col("image").startswith(prefix)), manifests, attestations=False, edges=edges)
+    layers = edges.where("kind = 'layer'").select("manifest_id", F.col("child").alias("digest"), "size_bytes")
     return walked.select(F.concat_ws(":", "image", "tag").alias("name"), "manifest_id").join(layers, "manifest_id").groupBy("digest", "name").agg(F.max("size_bytes").alias("size_bytes"))
 
 
