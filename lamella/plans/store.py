@@ -243,12 +243,17 @@ def name_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Current manifests against the newest push as the signed record of each tag."""
+    """Current manifests against the newest push as the signed record of each tag.
+
+    Pushes without a size stand for records of an older schema; records of tags that do
+    not begin with v are not encoded, those of images with a folder lab not signed well.
+    """
     tags = catalog.current_tags(table(spark, d, "manifest")).select("image", "tag", "digest")
-    pushes = temporal.counted_pushes(table(spark, d, "history"), {"digest": digests.plain(F.col("digest"))})
-    newest = pushes.groupBy("image", "tag").agg(F.max_by("digest", "at").alias("digest"))
-    signed = newest.select("image", "tag", F.lit(signing.SCHEMA_VERSION).alias("schema_version"), "digest", F.lit("k").alias("key_id"), F.lit("c2ln").alias("signature"))
-    return signing.verify(tags, signed, "store", lambda payload, signature, key: signature.isNotNull())
+    pushes = temporal.counted_pushes(table(spark, d, "history"), {"digest": digests.plain(F.col("digest")), "size": F.col("size_bytes")})
+    newest = pushes.groupBy("image", "tag").agg(F.max_by(F.struct("digest", "size"), "at").alias("n")).select("image", "tag", "n.*")
+    signature = F.when(~F.col("tag").startswith("v"), "***").when(F.col("image").contains("/lab/"), "YmFk").otherwise("c2ln")
+    signed = newest.select("image", "tag", F.when(F.col("size").isNull(), 1).otherwise(signing.SCHEMA_VERSION).alias("schema_version"), "digest", F.lit("k").alias("key_id"), signature.alias("signature"))
+    return signing.verify(tags, signed, "store", lambda payload, raw, key: raw == F.lit(b"sig"))
 
 
 def cache_fifo(spark: SparkSession, d: str) -> DataFrame:
@@ -409,8 +414,9 @@ SELECT path, CASE WHEN hops <= 16 THEN target END AS target, least(hops, 16) AS
     "digest_forms": f"SELECT history_id, {plain_sql('digest')} AS plain, coalesce(regexp_matches(digest, '^sha256:[a-f0-9]{{64}}$'), false) AS strict, left({plain_sql('digest')}, 12) AS short FROM history",
     "name_checks": """SELECT DISTINCT image, tag, coalesce(length(image) <= 255 AND regexp_matches(image, '^[a-z0-9]+(?:(?:\\.|_|__|-+)[a-z0-9]+)*(?:/[a-z0-9]+(?:(?:\\.|_|__|-+)[a-z0-9]+)*)*$'), false) AS name_ok,
  coalesce(regexp_matches(tag, '^[a-zA-Z0-9_][a-zA-Z0-9._-]{0,127}$'), false) AS tag_ok FROM history""",
-    "verify_ladder": f"""WITH counted AS ({COUNTED}), {_CURRENT}, s AS (SELECT image, tag, arg_max(digest, pushed_at) AS digest, arg_max_null(digest, pushed_at) AS newest FROM counted GROUP BY 1, 2),
-r AS (SELECT c.image, c.tag, CASE WHEN s.image IS NULL THEN 'no signature' WHEN s.newest IS DISTINCT FROM c.digest THEN 'digest changed' WHEN s.newest IS NULL THEN 'ok' ELSE 'ok' END AS reason FROM current c LEFT JOIN s ON s.image = c.image AND s.tag = c.tag)
+    "verify_ladder": f"""WITH counted AS ({COUNTED}), {_CURRENT}, s AS (SELECT image, tag, arg_max_null(digest, pushed_at) AS newest, arg_max_null(size_bytes, pushed_at) AS size FROM counted GROUP BY 1, 2),
+r AS (SELECT c.image, c.tag, CASE WHEN s.image IS NULL THEN 'no signature' WHEN s.size IS NULL THEN 'unknown schema' WHEN s.newest IS DISTINCT FROM c.digest THEN 'digest changed'
+ WHEN NOT starts_with(c.tag, 'v') THEN 'bad encoding' WHEN contains(c.image, '/lab/') THEN 'bad signature' ELSE 'ok' END AS reason FROM current c LEFT JOIN s ON s.image = c.image AND s.tag = c.tag)
 SELECT image, tag, reason = 'ok' AS verified, reason FROM r""",
     "cache_fifo": f"""WITH e AS (SELECT image, tag, min(history_id) AS seq, max(snapshot_at) AS newest FROM history WHERE digest IS NOT NULL AND tag IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY image ORDER BY seq DESC) <= 3) SELECT image, tag, seq FROM k WHERE newest + INTERVAL 31536000 SECONDS > TIMESTAMP '{NOW}'""",
