@@ -6,12 +6,14 @@ The master is that of spark-submit, or the local machine.
 from __future__ import annotations
 
 import argparse
+import functools
 import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.functions import names
 from lamella.operators import catalog, policy, reach
 from lamella.session import session, written
 from lamella.sources import objects, settings, sinks, transfer
@@ -65,6 +67,18 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--deep", action="store_true", help="doctor: also chunks and recipes")
     parser.add_argument("--force", action="store_true", help="write or delete tags of immutable images")
     a = parser.parse_args(args)
+    if "://" in a.root:
+        # verbs about one tag take scheme://bucket/image:tag, the others scheme://bucket/scope
+        if a.verb in ("inspect", "cat", "delete", "pull", "copy"):
+            of_tag = names.parse_reference(a.root)
+            if not of_tag.tag:
+                parser.error(f"{a.root}: a tag is needed")
+            a.root = names.root_uri(of_tag.scheme, of_tag.bucket)
+            place = 1 if a.verb == "copy" else 0
+            a.rest[place:place] = [of_tag.image, of_tag.tag]
+        else:
+            of_bucket = names.parse_bucket(a.root)
+            a.root, a.scope = names.root_uri(of_bucket.scheme, of_bucket.bucket), a.scope or of_bucket.scope
     if a.verb == "config":
         import yaml
 
@@ -117,18 +131,19 @@ def main(args: list[str] | None = None) -> int:
         print(sinks.render(plan, a.output))
         sinks.delete_objects(plan, a.root, a.confirm)
         return 0
-    manifest = bucket.manifest()
+    manifest = functools.cache(bucket.manifest)
     made = {
-        "list": lambda: catalog.list_images(manifest, a.scope).orderBy("image"),
+        # names alone, also of the older layout; no manifest is read
+        "list": lambda: catalog.images_of_keys(bucket.keys()).where(F.col("image").startswith(a.scope)).select("image", F.size("tags").alias("n_tags"), "tags").orderBy("image"),
         "inspect": lambda: bucket.inspect(*a.rest),
-        "stats": lambda: catalog.summary(manifest.where(F.coalesce(F.col("image").startswith(a.scope), F.lit(True))), bucket.object_listing()),
+        "stats": lambda: catalog.summary(manifest().where(F.coalesce(F.col("image").startswith(a.scope), F.lit(True))), bucket.object_listing()),
         "classes": lambda: catalog.by_storage_class(bucket.object_listing()),
-        "sharing": lambda: catalog.layer_sharing(manifest, a.scope).orderBy(F.desc("n_tags"), F.desc("size_bytes"), "digest"),
-        "missing": lambda: reach.missing(manifest, bucket.object_listing()).orderBy("image", "tag"),
-        "orphans": lambda: reach.orphans(manifest, bucket.object_listing()).orderBy("kind", "digest"),
+        "sharing": lambda: catalog.layer_sharing(manifest(), a.scope).orderBy(F.desc("n_tags"), F.desc("size_bytes"), "digest"),
+        "missing": lambda: reach.missing(manifest(), bucket.object_listing()).orderBy("image", "tag"),
+        "orphans": lambda: reach.orphans(manifest(), bucket.object_listing()).orderBy("kind", "digest"),
         "doctor": lambda: bucket.doctor(a.scope, a.config, a.deep).orderBy("check", "image", "tag", "detail"),
         "signatures": lambda: bucket.signatures().orderBy("image", "tag", "slug"),
-        "policy": lambda: policy.effective(manifest, bucket.rules(a.config)).orderBy("image"),
+        "policy": lambda: policy.effective(manifest(), bucket.rules(a.config)).orderBy("image"),
     }[a.verb]()
     print(sinks.render(made, a.output))
     return 0

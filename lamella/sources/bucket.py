@@ -16,7 +16,7 @@ from lamella.functions import names
 from lamella.operators import catalog, overlay, reach, recipes, signing
 from lamella.session import written
 from lamella.sources import archives, objects
-from lamella.sources.files import blocks, files
+from lamella.sources.files import blocks, files, require_shared
 
 _PLATFORM = "struct<os:string,architecture:string,variant:string>"
 _DESCRIPTOR = "struct<media_type:string,digest:string,size_bytes:bigint>"
@@ -90,7 +90,7 @@ class Found(NamedTuple):
 
 class Bucket:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, require_shared(spark, root)
 
     def keys(self, prefix: str = "") -> DataFrame:
         return objects.list_objects(self.spark, self.root, prefix)

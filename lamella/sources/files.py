@@ -31,16 +31,23 @@ def local_path(root: str) -> str | None:
     return root[m.end() :] or "/" if m[1] in ("file", "local") else None
 
 
-def require_shared(spark: SparkSession, root: str) -> None:
-    """RuntimeError where executors on other machines would each see a folder of their own."""
+def require_shared(spark: SparkSession, root: str) -> str:
+    """The root as every process understands it: local paths from the driver's folder on.
+
+    RuntimeError where executors on other machines would each see a folder of their own.
+    """
     path = local_path(root)
-    if path is None or re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        return
+    if path is None:
+        return root
+    path = os.path.abspath(path)
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return path
     conf = spark.sparkContext.getConf()
     named = [*spark.conf.get(SHARED_ROOTS, conf.get(SHARED_ROOTS, "")).split(","), conf.get("spark.checkpoint.dir", "")]
     shared = [os.path.abspath(local_path(n) or "") for n in named if n.strip() and local_path(n)]
-    if not any((os.path.abspath(path) + os.sep).startswith(s.rstrip(os.sep) + os.sep) for s in shared):
+    if not any((path + os.sep).startswith(s.rstrip(os.sep) + os.sep) for s in shared):
         raise RuntimeError(f"{root!r} is local to each machine; name it in {SHARED_ROOTS} if it is shared, or use an object store")
+    return path
 
 
 def checked_key(key: str) -> str:

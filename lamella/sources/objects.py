@@ -62,7 +62,7 @@ class ObjectSource(DataSource):
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    require_shared(spark, root)
+    root = require_shared(spark, root)
     spark.dataSource.register(ObjectSource)
     return spark.read.format("objects").option("prefix", prefix).load(root)
 

@@ -17,7 +17,7 @@ def put_objects(objects: DataFrame, root: str, only_new: bool = False) -> None:
     ``only_new``: an object that is there already is touched instead, which keeps garbage
     collection away from it for another grace period.
     """
-    require_shared(objects.sparkSession, root)
+    root = require_shared(objects.sparkSession, root)
 
     def write(rows) -> None:
         store = files(root)
@@ -38,7 +38,7 @@ def deletions(plan: DataFrame, root: str) -> DataFrame:
     """
     from lamella.session import written
 
-    require_shared(plan.sparkSession, root)
+    root = require_shared(plan.sparkSession, root)
 
     def run(batches):
         import pyarrow as pa
@@ -89,6 +89,7 @@ def store_chunks(layers: DataFrame, layer_id: str, content: str, root: str, fmt=
     from lamella.sources.objects import list_objects
 
     spark = layers.sparkSession
+    root = require_shared(spark, root)
     chunks = written(chunking.split(layers, layer_id, content, fmt or chunking.FORMAT_1), "chunks")
     stored = written(list_objects(spark, root, "chunks/sha256/").select(F.regexp_extract("object_key", r"([0-9a-f]{64})\z", 1).alias("digest")), "stored")
     fresh = chunking.new_chunks(chunks, stored)
@@ -146,8 +147,8 @@ def store_layer_files(layers: DataFrame, root: str, source_root: str, fmt=None)
     from lamella.session import written
     from lamella.sources import archives
 
-    require_shared(layers.sparkSession, root)
-    require_shared(layers.sparkSession, source_root)
+    root = require_shared(layers.sparkSession, root)
+    source_root = require_shared(layers.sparkSession, source_root)
     fmt = fmt or chunking.FORMAT_1
 
     def run(batches):
@@ -196,6 +197,8 @@ def verify_compressed(spark, root: str) -> DataFrame:
     from lamella.sources import archives
     from lamella.sources.objects import RECIPE_SCHEMA, list_objects, with_json
 
+    root = require_shared(spark, root)
+
     def run(batches):
         import pyarrow as pa
 
@@ -229,6 +232,8 @@ def fetch_layers(spark, root: str) -> DataFrame:
 
     from lamella.sources.objects import RECIPE_SCHEMA, list_objects, with_json
 
+    root = require_shared(spark, root)
+
     def run(batches):
         import pyarrow as pa
 

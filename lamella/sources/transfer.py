@@ -53,8 +53,8 @@ def copy_image(spark: SparkSession, source: str, target: str, image: str, tag: s
     ``platform``: publish only that platform's manifest of an index. ValueError for a
     source that is incomplete, PermissionError for an immutable tag at the target.
     """
-    require_shared(spark, source)
-    require_shared(spark, target)
+    source = require_shared(spark, source)
+    target = require_shared(spark, target)
     new_image, new_tag = new_image or image, new_tag or tag
     here, there = Bucket(spark, source), Bucket(spark, target)
     refuse_immutable(there, new_image, new_tag, force=force)
@@ -109,8 +109,8 @@ def push_image(spark: SparkSession, source: str, root: str, image: str, tag: str
     always, is stored whole. ValueError for a blob that is missing or damaged, or if the
     bucket holds chunks of another format; PermissionError for an immutable tag.
     """
-    require_shared(spark, source)
-    require_shared(spark, root)
+    source = require_shared(spark, source)
+    root = require_shared(spark, root)
     bucket = Bucket(spark, root)
     refuse_immutable(bucket, image, tag, config, force)
     held = bucket.config(config)
@@ -170,8 +170,8 @@ def pull_image(spark: SparkSession, root: str, image: str, tag: str, into: str,
     Layers held as chunks are put together and named by their raw digest; every layer's
     digest is verified. ValueError for a layer that is missing or damaged, or without the platform.
     """
-    require_shared(spark, root)
-    require_shared(spark, into)
+    root = require_shared(spark, root)
+    into = require_shared(spark, into)
     bucket = Bucket(spark, root)
     every = bucket.manifest(strict=True, scope=f"{image}/{tag}/")
     plain = catalog.plain_manifests(every)

@@ -239,6 +239,9 @@ def test_command_line(spark, root, tmp_path, capsys, monkeypatch):  # noqa: F811
     assert [r["pos"] for r in run("inspect", "org/app", "v1")[1]] == [0, 1]
     assert run("policy")[1][0]["keep_last"] == 1
     assert [r["check"] for r in run("doctor", "--deep")[1]] == ["orphan"] and run("signatures")[1][0]["slug"] == "k"
+    monkeypatch.chdir(os.path.dirname(root))
+    assert cli.main(["inspect", f"local://./{os.path.basename(root)}/org/app:v1", "--output", "json"]) == 0 and len(json.loads(capsys.readouterr().out)) == 2
+    assert cli.main(["list", f"local://./{os.path.basename(root)}/none", "--output", "json"]) == 0 and capsys.readouterr().out == "[]\n"
     before = listed(root)
     assert {r["reason"] for r in run("clean")[1]} == {"expired", "garbage"} and listed(root) == before
     run("config", "immutable=true", "--image", "org/*")
