@@ -23,6 +23,7 @@ DEFAULTS = {
 }
 
 _own_folders: dict[str, str] = {}
+_dropped_at_exit: set[str] = set()
 
 
 def session(name: str = "lamella", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,7 +62,11 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
-    path = f"{_tables_of(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _tables_of(spark)
+    if folder not in _dropped_at_exit:
+        _dropped_at_exit.add(folder)
+        atexit.register(_drop, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -83,8 +88,19 @@ def _tables_of(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lamella-{spark.sparkContext.applicationId}"
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone before this process
+        pass
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete all tables this application has written; results read from them end too."""
+    """Delete all tables this application has written; results read from them end too.
+
+    That also happens when the driver's process ends.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
