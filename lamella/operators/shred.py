@@ -19,11 +19,13 @@ id and equal body are one record. Other columns of the table are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,25 +168,29 @@ def shred(records: DataFrame, record_id: str, body: str) -> DataFrame:
     schema = pa.schema([(n, pa.string() if n in ("label", "kind", "scalar", "path") else pa.int64()) for n in ("record_id", "body_hash", "node", "parent", "label", "ordinal", "kind", "scalar", "path")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(columns: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        def packed(records: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
+            times = np.array([n for _, _, n in records], np.int64)
+            owners = [pa.array([r[k] for r in records], pa.int64()).take(pa.array(np.repeat(np.arange(len(records)), times))) for k in range(2)]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[2:], strict=True)]
+            return pa.RecordBatch.from_arrays([*owners, *columns], schema=schema)
 
         for batch in batches:
-            columns: list[list] = [[] for _ in schema]
+            records: list[tuple] = []
+            rows: list[tuple] = []
             held = 0
             for rid, hashed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 value = parse_object(text)
-                if value is None:
-                    continue
-                for node in nodes_of(value):
-                    for column, x in zip(columns, (rid, hashed, *node), strict=True):
-                        column.append(x)
+                nodes = nodes_of(value) if value is not None else iter(())
+                while some := list(itertools.islice(nodes, 512)):
+                    records.append((rid, hashed, len(some)))
+                    rows += some
                     # paths of deep documents are long, so characters count as well as rows
-                    held += 64 + len(node[-1])
+                    held += 64 * len(some) + sum(len(node[-1]) for node in some)
                     if held >= HELD:
-                        yield packed(columns)
-                        columns, held = [[] for _ in schema], 0
-            yield packed(columns)
+                        yield packed(records, rows)
+                        records, rows, held = [], [], 0
+            if rows:
+                yield packed(records, rows)
 
     slim = records.where(F.col(body).isNotNull()).select(F.col(record_id).cast("bigint").alias("record_id"), F.xxhash64(body).alias("body_hash"), F.col(body).alias("body"))
     return slim.mapInArrow(run, NODE_SCHEMA)
